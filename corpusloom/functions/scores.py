@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression written inside an array function's lambda is computed once per element; a
+    lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(logits: Column) -> Column:
     return logits.cast("array<double>")
 
@@ -16,24 +27,28 @@ def softcap(logits: Column, cap: float = 15.0) -> Column:
     return F.transform(doubles(logits), lambda x: cap * F.tanh(x / cap))
 
 
-def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.log(total) + top
+def log_sum_exp(wide: Column) -> Column:
+    return let(
+        F.array_max(wide),
+        lambda top: F.log(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))) + top,
+    )
 
 
 def token_nll(logits: Column, target: Column) -> Column:
     """Negative log-likelihood in nats of a 0-based target; NULL outside the vocabulary."""
-    wide = doubles(logits)
-    inside = (target >= 0) & (target < F.size(wide))
-    return F.when(inside, log_sum_exp(wide) - F.element_at(wide, F.when(inside, target + 1)))
+    inside = (target >= 0) & (target < F.size(logits))
+    nats = let(doubles(logits), lambda wide: log_sum_exp(wide) - F.get(wide, target))
+    return F.when(inside, nats)
 
 
 def top_k_mask(logits: Column, k: int) -> Column:
     """-inf for everything below the k-th largest value; ties with it all stay."""
-    wide = doubles(logits)
-    kth = F.element_at(F.sort_array(wide, asc=False), F.least(F.lit(k), F.size(wide)))
-    return F.transform(wide, lambda x: F.when(x < kth, F.lit(NEG_INF)).otherwise(x))
+
+    def mask(wide: Column) -> Column:
+        kth = F.element_at(F.sort_array(wide, asc=False), F.least(F.lit(k), F.size(wide)))
+        return let(kth, lambda t: F.transform(wide, lambda x: F.when(x < t, F.lit(NEG_INF)).otherwise(x)))
+
+    return let(doubles(logits), mask)
 
 
 def tempered(logits: Column, temperature: float) -> Column:
@@ -43,14 +58,15 @@ def tempered(logits: Column, temperature: float) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    wide = doubles(logits)
-    norm = log_sum_exp(wide)
-    return F.transform(wide, lambda x: F.exp(x - norm))
+    def normalise(wide: Column) -> Column:
+        return let(log_sum_exp(wide), lambda norm: F.transform(wide, lambda x: F.exp(x - norm)))
+
+    return let(doubles(logits), normalise)
 
 
 def greedy(logits: Column) -> Column:
     """0-based index of the first maximum."""
-    return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
+    return let(logits, lambda l: F.array_position(l, F.array_max(l)) - 1).cast("int")
 
 
 def sample(logits: Column, row_id: Column, temperature: float, seed: int, k: int | None = None) -> Column:
@@ -72,7 +88,9 @@ def sample(logits: Column, row_id: Column, temperature: float, seed: int, k: int
 
 
 def rms_normalize(vector: Column, epsilon: float = 1e-6) -> Column:
-    wide = doubles(vector)
-    mean_square = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(wide)
-    scale = F.sqrt(mean_square + epsilon)
-    return F.transform(wide, lambda x: x / scale)
+    def scale(wide: Column) -> Column:
+        squares = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)
+        root = F.sqrt(squares / F.size(wide) + epsilon)
+        return let(root, lambda r: F.transform(wide, lambda x: x / r))
+
+    return let(doubles(vector), scale)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import conversations, corpus, evaluation, runlog, sequences, tokens
+from corpusloom.plans import conversations, corpus, evaluation, reports, runlog, sequences, tokens
 
-_FAMILIES = [corpus, tokens, sequences, conversations, evaluation, runlog]
+_FAMILIES = [corpus, tokens, sequences, conversations, evaluation, runlog, reports]
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in _FAMILIES for name, sql in family.ORACLE.items()}
