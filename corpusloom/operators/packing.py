@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.sequences import ordered_concat, shift
+from corpusloom.staging import stage
 
 _MAP = "shard string, node long, entry long, leave long, n_rows long"
 _ENTRY = "shard string, node long, entry long, first_row long"
@@ -39,7 +40,7 @@ def _block_docs(pdf: pd.DataFrame, node: int) -> tuple[pd.DataFrame, int]:
 
 
 def _summarise(length: int):
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, node = key
         pdf, own = _block_docs(pdf, node)
         pos, ords = pdf["shard_pos"].to_numpy(), pdf["ord"].to_numpy()
@@ -69,7 +70,7 @@ def _chain(pdf: pd.DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
     return maps
 
 
-def _compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     shard, parent = key
     maps = _chain(pdf)
     order = sorted(maps)
@@ -85,7 +86,7 @@ def _compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "node", "entry", "leave", "n_rows"])
 
 
-def _descend(key, parents: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+def _descend(key: tuple, parents: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(parents):
         maps = _chain(children)
@@ -100,7 +101,7 @@ def _descend(key, parents: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame
 
 
 def _list_rows(length: int):
-    def list_rows(key, entries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def list_rows(key: tuple, entries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         shard, node = key
         cols = ["shard", "row_no", "seg_no", "ord", "start", "end"]
         if not len(entries) or not len(docs):
@@ -146,8 +147,12 @@ def pack_plan(
 
     ``offsets`` is the output of ``token_offsets``; ``start`` and ``end`` are token positions in
     the shard.  Each shard is packed alone and its last batch is left out unless full.
+
+    The lengths and each level of maps are staged: they are small, used more than once, and
+    computing them again would read the corpus again.
     """
     length = int(seq_len) + 1
+    offsets = stage(offsets.select("shard", "ord", "n", "shard_pos"), "lengths")
     block = max(block_docs or 16 * length, length)  # a row then never reaches past the next block
     shard_tokens = offsets.groupBy("shard").agg(
         F.sum("n").alias("shard_tokens"), F.max("ord").alias("_last_ord")
@@ -160,14 +165,14 @@ def pack_plan(
     near_start = (F.expr(f"ord % {block}") < length) & (here > 0)
     nodes = F.when(near_start, F.array(here, here - 1)).otherwise(F.array(here))
     placed = docs.withColumn("node", F.explode(nodes))
-    maps = placed.groupBy("shard", "node").applyInPandas(_summarise(length), _MAP)
+    maps = stage(placed.groupBy("shard", "node").applyInPandas(_summarise(length), _MAP), "maps")
 
     deepest = shard_tokens.agg(F.max(F.expr(f"_last_ord div {block}"))).first()[0] or 0
     levels = [maps]
     while deepest > 0:
         deepest //= fan_in
         lower = levels[-1].withColumn("parent", F.expr(f"node div {fan_in}"))
-        levels.append(lower.groupBy("shard", "parent").applyInPandas(_compose, _MAP))
+        levels.append(stage(lower.groupBy("shard", "parent").applyInPandas(_compose, _MAP), "maps"))
 
     shard_rows = levels[-1].filter((F.col("node") == 0) & (F.col("entry") == 0)).select("shard", "n_rows")
     entries = shard_rows.select(

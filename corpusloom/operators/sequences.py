@@ -17,6 +17,8 @@ BLOCK_DOCS = 8192
 def token_offsets(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Add ``ord`` (rank in shard), ``shard_pos`` and ``start_pos`` (tokens before the document).
 
+    ``docs`` is read twice, so pass a staged table when ``n`` is costly to compute.
+
     ``shard_pos`` counts from the start of the shard, ``start_pos`` from the start of the corpus.
     Three levels of sums: documents inside a block, blocks inside a shard, shards.  The last one
     is a window without partitioning over one row per file.
@@ -81,7 +83,7 @@ def stream_batches(
 ) -> DataFrame:
     """Cut the token stream into training rows ``(batch_id, row_in_batch, inputs, targets)``.
 
-    ``docs`` has ``start_pos`` and ``ids``.  A batch takes ``batch_rows * seq_len + 1`` tokens and
+    ``docs`` has ``start_pos`` and ``ids``; ``total`` may give its number of tokens.  A batch takes ``batch_rows * seq_len + 1`` tokens and
     batches do not overlap; neighbouring rows of a batch share one token.  Each document is sliced
     into the rows it touches and tokens shuffle once, straight to groups of one row.  A last batch
     that is not full is left out.

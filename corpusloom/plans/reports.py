@@ -221,7 +221,7 @@ with devices as (
   from part),
 priced as (
   select p_partkey, device, case when device is not null then
-    {[float(p) for _, p in HOURLY_RATES] + [2.0]}::double[][p_partkey % 6 + 1] * p_size end as rate from devices)
+    ({[float(p) for _, p in HOURLY_RATES] + [2.0]}::double[])[p_partkey % 6 + 1] * p_size end as rate from devices)
 select p_partkey, device, round(rate, 6) as rate,
   round(case when p_partkey % 10 <> 0 then rate * (p_partkey % 10) end, 6) as estimated_total
 from priced""",

@@ -10,7 +10,7 @@ from corpusloom.operators.codec import with_ends
 from corpusloom.plans.oracle_parts import OFFSETS, byte_list
 from corpusloom.plans.tables import BOS, byte_offsets, documents
 from corpusloom.sources import token_shards
-from corpusloom.staging import fresh_path, spread
+from corpusloom.staging import fresh_path, spread, stage
 from corpusloom.streaming.cut import cut_rows, cut_stream, read_corpus_stream
 
 B, T, EPOCHS = 4, 2048, 3
@@ -26,7 +26,8 @@ def _token_docs(spark, sf_dir):
 
 
 def _token_stream(spark, sf_dir):
-    return sequences.token_offsets(_token_docs(spark, sf_dir))
+    """Encoded documents in stream order; the corpus is encoded once, into a table."""
+    return sequences.token_offsets(stage(_token_docs(spark, sf_dir), "encoded"))
 
 
 def _shown(rows, *key):
@@ -54,7 +55,9 @@ def multi_epoch_stream(spark, sf_dir):
 
 
 def stream_batches(spark, sf_dir):
-    rows = sequences.stream_batches(_token_stream(spark, sf_dir), B, T)
+    docs = stage(_token_docs(spark, sf_dir), "encoded")
+    stream = sequences.token_offsets(docs)
+    rows = sequences.stream_batches(stream, B, T, total=sequences.total_tokens(docs))
     return _shown(rows, "batch_id", "row_in_batch")
 
 
@@ -86,7 +89,7 @@ def bos_pack_batch(spark, sf_dir):
 
 def packed_sequences(spark, sf_dir):
     docs = _token_stream(spark, sf_dir)
-    rows = packing.packed_rows(bos_pack_plan(spark, sf_dir), docs, T)
+    rows = packing.packed_rows(packing.pack_plan(docs, B, T), docs, T)
     return _shown(rows, "shard", "batch_id", "row_in_batch")
 
 
@@ -98,7 +101,7 @@ def packing_audit(spark, sf_dir):
 def _token_files(spark, sf_dir):
     stream = _token_stream(spark, sf_dir).select("start_pos", "ids")
     path = token_shards.write_token_shards(stream, fresh_path(spark, "tokens"), FILE_TOKENS)
-    return token_shards.read_token_shards(spark, path)
+    return path
 
 
 def _file(path: str):
@@ -106,20 +109,22 @@ def _file(path: str):
 
 
 def token_shard_scan(spark, sf_dir):
-    chunks = _token_files(spark, sf_dir)
+    chunks = token_shards.read_token_shards(spark, _token_files(spark, sf_dir))
     return chunks.select(_file("path").alias("file"), "start", joined(F.col("ids")).alias("ids"))
 
 
 def token_shard_roundtrip(spark, sf_dir):
-    docs = token_shards.shard_documents(_token_files(spark, sf_dir), BOS)
+    index = stage(token_shards.read_bos_index(spark, _token_files(spark, sf_dir), BOS), "bos")
+    docs = token_shards.shard_documents(index)
     return docs.select(_file("shard").alias("file"), F.col("row_index").alias("pos"), "n")
 
 
 def token_shard_batches(spark, sf_dir):
-    chunks = _token_files(spark, sf_dir)
-    docs = sequences.token_offsets(token_shards.shard_documents(chunks, BOS), block_docs=1 << 23)
+    path = _token_files(spark, sf_dir)
+    index = stage(token_shards.read_bos_index(spark, path, BOS), "bos")
+    docs = stage(sequences.token_offsets(token_shards.shard_documents(index), block_docs=1 << 23), "documents")
     plan = packing.pack_plan(docs, B, T)
-    rows = token_shards.packed_shard_rows(plan, docs, chunks, T)
+    rows = token_shards.packed_shard_rows(plan, docs, token_shards.read_token_shards(spark, path), T)
     return _shown(rows.withColumn("file", _file("shard")), "file", "batch_id", "row_in_batch")
 
 

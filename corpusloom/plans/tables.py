@@ -9,7 +9,7 @@ from corpusloom.operators import bpe
 from corpusloom.operators.running import with_position
 from corpusloom.operators.sequences import token_offsets
 from corpusloom.sources.vocab_store import load_tokenizer, save_tokenizer
-from corpusloom.staging import fresh_path, spread
+from corpusloom.staging import fresh_path, spread, stage
 
 # Vocabulary of the trained-tokenizer queries: bytes, specials and this many merges.
 MERGES = 64
@@ -44,7 +44,8 @@ def byte_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_offsets(byte_lengths(spark, sf_dir))
+    """Offsets of all documents; the text is read once, for its lengths."""
+    return token_offsets(stage(byte_lengths(spark, sf_dir), "lengths"))
 
 
 def tokenizer(spark: SparkSession, sf_dir: str, layout: str = "rank") -> tuple[DataFrame, DataFrame]:

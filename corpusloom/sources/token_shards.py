@@ -1,7 +1,8 @@
 """Token-shard files: a header of 256 int32 values, then unsigned 16-bit token ids.
 
-``format("token_shard")`` reads chunks ``(path, start, ids)`` in parallel byte ranges of a file,
-or with ``view=headers`` one row per file that says why it cannot be read, if so.  Writing takes
+``format("token_shard")`` reads chunks ``(path, start, ids)`` in parallel byte ranges of a file.
+With ``view=bos`` a chunk gives the positions of the token ``bosId`` instead of its ids, with
+``view=headers`` a file gives one row that says why it cannot be read, if so.  Writing takes
 ``(file_no, file_tokens, pos, ids)`` rows, ordered within each file, and publishes the finished
 files on commit, so a repeated task leaves nothing behind.
 """
@@ -37,6 +38,7 @@ FORMAT = "token_shard"
 HEADER_BYTES = SHARD_HEADER_INTS * 4
 CHUNK_TOKENS = 65_536
 READ_SCHEMA = "path string, start bigint, ids array<int>"
+BOS_SCHEMA = "path string, start bigint, n_tokens bigint, bos array<bigint>"
 HEADER_SCHEMA = "path string, magic int, version int, n_tokens bigint, n_bytes bigint, reason string"
 FILE_NAME = "tokens_%06d.bin"
 
@@ -46,13 +48,18 @@ def _filesystem(path: str):
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     path: str
     size: int
     first: int
     last: int
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list
@@ -81,7 +88,8 @@ class TokenShardSource(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return HEADER_SCHEMA if self.options.get("view") == "headers" else READ_SCHEMA
+        views = {"headers": HEADER_SCHEMA, "bos": BOS_SCHEMA}
+        return views.get(self.options.get("view"), READ_SCHEMA)
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -93,9 +101,12 @@ class TokenShardSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.headers = options.get("view") == "headers"
+        self.view = options.get("view", "ids")
+        self.bos_id = int(options.get("bosid", -1))
         self.strict = str(options.get("strict", "true")).lower() == "true"
-        self.step = int(options.get("tokenspertask", 32 * 1024 * 1024)) // CHUNK_TOKENS * CHUNK_TOKENS or CHUNK_TOKENS
+        # A task reads between these numbers of tokens: long files are cut, short ones share a task.
+        self.most = max(int(options.get("tokenspertask", 32 << 20)) // CHUNK_TOKENS, 1) * CHUNK_TOKENS
+        self.least = self.most // 16
 
     def partitions(self):
         """Byte ranges from the file listing alone; no file is opened on the driver."""
@@ -105,39 +116,55 @@ class _Reader(DataSourceReader):
         else:
             found = [system.get_file_info(root)]
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".bin"))
-        ranges = []
+        tasks, held = [_Ranges([])], 0
         for path, size in files:
             tokens = max((size - HEADER_BYTES) // 2, 1)
-            step = tokens if self.headers else self.step
-            ranges += [_Range(path, size, at, min(at + step, tokens)) for at in range(0, tokens, step)]
-        return ranges or [_Range("", 0, 0, 0)]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+            step = tokens if self.view == "headers" else self.most
+            for first in range(0, tokens, step):
+                last = min(first + step, tokens)
+                tasks[-1].ranges.append(_Range(path, size, first, last))
+                held += 1 if self.view == "headers" else last - first
+                if held >= (256 if self.view == "headers" else self.least):
+                    tasks.append(_Ranges([]))
+                    held = 0
+        return tasks
+
+    def read(self, task: _Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
-        with system.open_input_file(part.path) as file:
-            header = _header(file)
-            reason = _fault(header, part.size)
-            if self.headers:
-                values = [int(v) for v in header[:3]] + [None] * (3 - len(header[:3]))
-                row = [[part.path], values[:1], values[1:2], values[2:3], [part.size], [reason]]
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-                names = ["path", "magic", "version", "n_tokens", "n_bytes", "reason"]
-                yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
-                return
-            if reason is not None:
-                if self.strict:
-                    raise ValueError(f"{part.path}: {reason}")
-                return
-            last = min(part.last, int(header[2]))
-            for at in range(part.first, last, CHUNK_TOKENS):
-                file.seek(HEADER_BYTES + 2 * at)
-                ids = np.frombuffer(file.read(2 * (min(at + CHUNK_TOKENS, last) - at)), "<u2").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
-                yield pa.record_batch(
-                    [pa.array([part.path]), pa.array([at], pa.int64()), lists], names=["path", "start", "ids"]
-                )
+        for part in task.ranges:
+            with system.open_input_file(part.path) as file:
+                yield from self._read_range(file, part)
+
+    def _read_range(self, file, part: _Range) -> Iterator[pa.RecordBatch]:
+        header = _header(file)
+        reason = _fault(header, part.size)
+        if self.view == "headers":
+            values = [int(v) for v in header[:3]] + [None] * (3 - len(header[:3]))
+            row = [[part.path], values[:1], values[1:2], values[2:3], [part.size], [reason]]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            names = ["path", "magic", "version", "n_tokens", "n_bytes", "reason"]
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
+            return
+        if reason is not None:
+            if self.strict:
+                raise ValueError(f"{part.path}: {reason}")
+            return
+        last = min(part.last, int(header[2]))
+        for at in range(part.first, last, CHUNK_TOKENS):
+            file.seek(HEADER_BYTES + 2 * at)
+            ids = np.frombuffer(file.read(2 * (min(at + CHUNK_TOKENS, last) - at)), "<u2")
+            columns = {"path": pa.array([part.path]), "start": pa.array([at], pa.int64())}
+            if self.view == "bos":
+                spots = np.flatnonzero(ids == self.bos_id) + at
+                columns["n_tokens"] = pa.array([len(ids)], pa.int64())
+                columns["bos"] = _one_list(spots.astype(np.int64))
+            else:
+                columns["ids"] = _one_list(ids.astype(np.int32))
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def _one_list(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
 class _Writer(DataSourceArrowWriter):
@@ -158,7 +185,7 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"file {files[-1][1]}: {at} tokens instead of {expected}")
 
         for batch in batches:
-            rows = batch.to_pydict() if batch.num_rows == 0 else {n: batch.column(n) for n in batch.schema.names}
+            rows = {name: batch.column(name) for name in batch.schema.names}
             for i in range(batch.num_rows):
                 number, ids = rows["file_no"][i].as_py(), rows["ids"][i].values.to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= MAX_TOKEN_IDS):
@@ -238,21 +265,24 @@ def write_token_shards(stream: DataFrame, path: str, tokens_per_file: int = 100_
     return path
 
 
-def shard_documents(chunks: DataFrame, bos_id: int, block_tokens: int = 1 << 23) -> DataFrame:
+def read_bos_index(spark: SparkSession, path: str, bos_id: int, strict: bool = True) -> DataFrame:
+    """``(path, start, n_tokens, bos)`` per chunk: where BOS stands, without shipping the tokens."""
+    register(spark)
+    reader = spark.read.format(FORMAT).option("view", "bos").option("bosId", bos_id)
+    return reader.option("strict", str(strict).lower()).load(path)
+
+
+def shard_documents(index: DataFrame, block_tokens: int = 1 << 23) -> DataFrame:
     """Documents ``(shard, row_index, n)`` of token shards: from each BOS to the next.
 
-    ``row_index`` is the token position of the BOS; tokens before the first one belong to none.
-    The next BOS is found inside a block of positions, or is the first one of a later block.
+    ``index`` is a BOS index, read three times: stage it.  ``row_index`` is the token position of
+    the BOS; tokens before the first one belong to none.  The next BOS is found inside a block of
+    positions, or is the first one of a later block.
     """
-    starts = (
-        chunks.select("path", "start", F.posexplode("ids").alias("_i", "_t"))
-        .filter(F.col("_t") == bos_id)
-        .select(F.col("path").alias("shard"), (F.col("start") + F.col("_i")).alias("pos"))
-        .withColumn("_block", F.expr(f"pos div {block_tokens}"))
-    )
-    sizes = chunks.groupBy(F.col("path").alias("shard")).agg(
-        F.max(F.col("start") + F.size("ids")).alias("_size")
+    starts = index.select(F.col("path").alias("shard"), F.explode("bos").alias("pos")).withColumn(
+        "_block", F.expr(f"pos div {block_tokens}")
     )
+    sizes = index.groupBy(F.col("path").alias("shard")).agg(F.max(F.col("start") + F.col("n_tokens")).alias("_size"))
     firsts = starts.groupBy("shard", "_block").agg(F.min("pos").alias("_first"))
     later = firsts.select(
         "shard", "_block", F.lead("_first").over(Window.partitionBy("shard").orderBy("_block")).alias("_later")
