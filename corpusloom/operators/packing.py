@@ -105,7 +105,7 @@ def _list_rows(length: int):
         shard, node = key
         cols = ["shard", "row_no", "seg_no", "ord", "start", "end"]
         if not len(entries) or not len(docs):
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame([], columns=cols, dtype=object)
         docs, own = _block_docs(docs, node)
         pos, ords, n = (docs[c].to_numpy() for c in ("shard_pos", "ord", "n"))
         after = _row_chain(pos, n, int(docs["shard_tokens"].iloc[0]), length).tolist()
@@ -115,7 +115,7 @@ def _list_rows(length: int):
             i = after[i]
         heads = np.array(heads, np.int64)
         if not len(heads):
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame([], columns=cols, dtype=object)
         size = np.array([after[h] for h in heads], np.int64) - heads
         row = np.repeat(np.arange(len(heads)), size)
         seg = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

@@ -8,6 +8,8 @@ ordered per key.  Rows and block totals are partitioned alike, so rows shuffle o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,24 +84,23 @@ def decayed_sum(
     that power far from overflow.  A block passes its last sum on to the next one: the same
     recurrence with decay ``decay ** block``, over a table that is a block length smaller.
     """
-    import math
-
+    block, carry = f"_block_of_{position}", f"_carry_of_{name}"
     m = max(2, min(BLOCK_ROWS, int(400 / -math.log(decay)))) if 0.0 < decay < 1.0 else BLOCK_ROWS
     step = F.expr(f"`{position}` % {m}").cast("double")
-    rows = df.select("*", block_of(position, m).alias(_BLOCK), step.alias("_j"))
-    upto_here = Window.partitionBy(*key, _BLOCK).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select("*", block_of(position, m).alias(block), step.alias("_j"))
+    upto_here = Window.partitionBy(*key, block).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     weighted = F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_j"))).over(upto_here)
     rows = rows.withColumn(name, weighted * F.pow(F.lit(decay), F.col("_j")))
 
-    ends = rows.filter(F.col("_j") == m - 1).select(*key, _BLOCK, F.col(name).alias("_end"))
+    ends = rows.filter(F.col("_j") == m - 1).select(*key, block, F.col(name).alias("_end"))
     block_decay = decay**m
     if block_decay > 1e-40:
-        ends = decayed_sum(ends, key, _BLOCK, "_end", block_decay, "_carry")
+        ends = decayed_sum(ends, key, block, "_end", block_decay, carry)
     else:
         # Older blocks weigh less than a double can show, except that NaN stays NaN.
-        upto_block = Window.partitionBy(*key).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+        upto_block = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
         spoiled = F.max(F.isnan("_end")).over(upto_block)
-        ends = ends.withColumn("_carry", F.when(spoiled, F.lit(float("nan"))).otherwise(F.col("_end")))
-    carries = ends.select(*key, (F.col(_BLOCK) + 1).alias(_BLOCK), "_carry")
-    total = F.col(name) + F.coalesce(F.col("_carry") * F.pow(F.lit(decay), F.col("_j") + 1), F.lit(0.0))
-    return rows.join(carries, [*key, _BLOCK], "left").select(*df.columns, total.alias(name))
+        ends = ends.withColumn(carry, F.when(spoiled, F.lit(float("nan"))).otherwise(F.col("_end")))
+    carries = ends.select(*key, (F.col(block) + 1).alias(block), carry)
+    total = F.col(name) + F.coalesce(F.col(carry) * F.pow(F.lit(decay), F.col("_j") + 1), F.lit(0.0))
+    return rows.join(carries, [*key, block], "left").select(*df.columns, total.alias(name))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from corpusloom.staging import filesystem
 
 CONFIG_FIELDS = ("sequence_len", "vocab_size", "n_layer", "n_head", "n_kv_head", "n_embd")
 METADATA_SCHEMA = (
@@ -13,25 +21,56 @@ METADATA_SCHEMA = (
 )
 
 
+class RunMetadataSource(DataSource):
+    """Text of the metadata files under a folder: ``(run, dir_step, text)``.
+
+    File sources skip names with a leading underscore, as these files have.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "run_metadata"
+
+    def schema(self) -> str:
+        return "run string, dir_step bigint, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _MetadataReader(self.options["path"])
+
+
+@dataclass
+class _Files(InputPartition):
+    found: list
+
+
+class _MetadataReader(DataSourceReader):
+    FOLDER = re.compile(r"([^/=]+)/(?:step=)?(\d+)/(?:_metadata\.json|part-[^/]*)$")
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        system, root = filesystem(self.path)
+        files = system.get_file_info(fs.FileSelector(root, recursive=True))
+        found = [(m.group(1), int(m.group(2)), f.path) for f in files if (m := self.FOLDER.search(f.path))]
+        return [_Files(found[i : i + 64]) for i in range(0, len(found), 64)] or [_Files([])]
+
+    def read(self, part: _Files) -> Iterator[tuple]:
+        system, _ = filesystem(self.path)
+        for run, step, path in part.found:
+            with system.open_input_stream(path) as file:
+                yield run, step, file.read().decode("utf-8")
+
+
 def read_run_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
-    """``(run, dir_step, extra STRUCT)`` from ``<path>/<run>/<step>/<file>.json``.
+    """``(run, dir_step, extra STRUCT)`` from ``<path>/<run>/<step>/_metadata.json``.
 
     Folder names may be plain or ``name=value``.
     """
-    records = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("allowNonNumericNumbers", True)
-        .option("recursiveFileLookup", True)
-        .json(path)
-    )
-    fields = list(records.columns)
-    folder = r"/(?:run=)?([^/=]+)/(?:step=)?(\d+)/[^/]+$"
-    return records.select(
-        F.regexp_extract("_metadata.file_path", folder, 1).alias("run"),
-        F.regexp_extract("_metadata.file_path", folder, 2).cast("bigint").alias("dir_step"),
-        F.struct(*fields).alias("extra"),
-    )
+    spark.dataSource.register(RunMetadataSource)
+    texts = spark.read.format("run_metadata").load(path)
+    extra = F.from_json("text", schema, {"allowNonNumericNumbers": "true"})
+    return texts.select("run", "dir_step", extra.alias("extra"))
 
 
 def run_catalog(steps: DataFrame, metadata: DataFrame) -> DataFrame:

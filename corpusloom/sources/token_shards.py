@@ -33,6 +33,7 @@ from corpusloom.functions.fixed_values import (
     SHARD_VERSION,
 )
 from corpusloom.operators.sequences import ordered_concat, shift
+from corpusloom.staging import filesystem
 
 FORMAT = "token_shard"
 HEADER_BYTES = SHARD_HEADER_INTS * 4
@@ -43,10 +44,6 @@ HEADER_SCHEMA = "path string, magic int, version int, n_tokens bigint, n_bytes b
 FILE_NAME = "tokens_%06d.bin"
 
 
-def _filesystem(path: str):
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 @dataclass
 class _Range:
     path: str
@@ -110,7 +107,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         """Byte ranges from the file listing alone; no file is opened on the driver."""
-        system, root = _filesystem(self.path)
+        system, root = filesystem(self.path)
         if system.get_file_info(root).type == fs.FileType.Directory:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
         else:
@@ -130,7 +127,7 @@ class _Reader(DataSourceReader):
         return tasks
 
     def read(self, task: _Ranges) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         for part in task.ranges:
             with system.open_input_file(part.path) as file:
                 yield from self._read_range(file, part)
@@ -173,7 +170,7 @@ class _Writer(DataSourceArrowWriter):
         self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        system, root = _filesystem(self.path)
+        system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         attempt, files, out = uuid.uuid4().hex, [], None
         at = expected = 0
@@ -205,13 +202,13 @@ class _Writer(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages) -> None:
-        system, root = _filesystem(self.path)
+        system, root = filesystem(self.path)
         for message in messages:
             for temporary, name in message.files if message else []:
                 system.move(temporary, f"{root}/{name}")
 
     def abort(self, messages) -> None:
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         for message in messages:
             for temporary, _name in message.files if message else []:
                 system.delete_file(temporary)
