@@ -9,7 +9,13 @@ from dataclasses import dataclass
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from corpusloom.staging import filesystem
 
@@ -37,6 +43,9 @@ class RunMetadataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _MetadataReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _MetadataWriter(self.options["path"])
+
 
 @dataclass
 class _Files(InputPartition):
@@ -44,7 +53,7 @@ class _Files(InputPartition):
 
 
 class _MetadataReader(DataSourceReader):
-    FOLDER = re.compile(r"([^/=]+)/(?:step=)?(\d+)/(?:_metadata\.json|part-[^/]*)$")
+    FOLDER = re.compile(r"([^/=]+)/(?:step=)?(\d+)/_metadata\.json$")
 
     def __init__(self, path: str):
         self.path = path
@@ -62,6 +71,22 @@ class _MetadataReader(DataSourceReader):
                 yield run, step, file.read().decode("utf-8")
 
 
+class _MetadataWriter(DataSourceWriter):
+    """One file per row.  A repeated task writes the same bytes to the same names."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        system, root = filesystem(self.path)
+        for row in rows:
+            folder = f"{root}/{row.run}/{row.dir_step}"
+            system.create_dir(folder, recursive=True)
+            with system.open_output_stream(f"{folder}/_metadata.json") as file:
+                file.write(row.text.encode("utf-8"))
+        return WriterCommitMessage()
+
+
 def read_run_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
     """``(run, dir_step, extra STRUCT)`` from ``<path>/<run>/<step>/_metadata.json``.
 
@@ -85,7 +110,10 @@ def metadata_json(catalog: DataFrame) -> DataFrame:
 
 
 def write_run_metadata(records: DataFrame, path: str) -> str:
-    """Write ``(run, step, extra)`` as one JSON file per (run, step) folder."""
-    lines = records.select("run", "step", F.to_json("extra").alias("value"))
-    lines.write.partitionBy("run", "step").text(path)
+    """Write ``(run, step, extra)`` as ``<path>/<run>/<step>/_metadata.json``."""
+    records.sparkSession.dataSource.register(RunMetadataSource)
+    texts = records.select(
+        F.col("run").cast("string").alias("run"), F.col("step").cast("bigint").alias("dir_step"), F.to_json("extra").alias("text")
+    )
+    texts.write.format("run_metadata").mode("append").save(path)
     return path
