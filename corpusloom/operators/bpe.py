@@ -116,28 +116,37 @@ def learn_merges(
 ) -> list[tuple[int, int]]:
     """``n_merges`` symbol pairs in merge order (fewer when no pair is left).
 
-    Words are a staged table; between rewrites the merges since the last one are applied on the
-    fly.  Two table slots take turns, so old versions do not pile up.
+    Words are a staged table.  Between rewrites the words of the latest round are cached, so a
+    round applies its own merges only; a lost cache is computed again from the table.  Two table
+    slots take turns, so old versions do not pile up.
     """
     spark = histogram.sparkSession
     first = histogram.select(_initial_symbols(F.col("piece"), layout).alias("word"), F.col("n"))
     slots = [fresh_path(spark, "words"), fresh_path(spark, "words")]
-    table = stage(spread(first.filter(F.length("word") > 1)), "words", slots[0])
+    words = stage(spread(first.filter(F.length("word") > 1)), "words", slots[0])
     merges: list[tuple[int, int]] = []
-    pending: list[tuple[int, int, int]] = []
-    writes = 0
+    cached: list[DataFrame] = []
+    since_rewrite = writes = 0
     while len(merges) < n_merges:
-        words = _apply(table, pending)
-        if len(pending) >= merges_per_rewrite:
-            writes += 1
-            table = words = stage(words.filter(F.length("word") > 1), "words", slots[writes % 2])
-            pending = []
         ranked = _top_pairs(words, look_at)
+        for old in cached[:-1]:
+            old.unpersist()
+        cached = cached[-1:]
         if not ranked:
             break
-        for left, right in exact_batch(ranked, complete=len(ranked) < look_at)[: n_merges - len(merges)]:
-            pending.append((left, right, BYTES + len(merges)))
-            merges.append((left, right))
+        batch = exact_batch(ranked, complete=len(ranked) < look_at)[: n_merges - len(merges)]
+        numbered = [(left, right, BYTES + len(merges) + k) for k, (left, right) in enumerate(batch)]
+        merges += batch
+        since_rewrite += len(batch)
+        words = _apply(words, numbered)
+        if since_rewrite >= merges_per_rewrite and len(merges) < n_merges:
+            writes += 1
+            words = stage(words.filter(F.length("word") > 1), "words", slots[writes % 2])
+            since_rewrite = 0
+        elif len(merges) < n_merges:
+            cached.append(words.persist())
+    for old in cached:
+        old.unpersist()
     return merges
 
 
@@ -147,8 +156,6 @@ def _apply(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     The merges are one constant array that a fold runs through: the plan, and so its generated
     code, is the same in every round.
     """
-    if not merges:
-        return words
     steps = F.split(F.lit(",".join("".join(map(symbol_char, m)) for m in merges)), ",")
     merged = F.aggregate(
         steps, F.col("word"), lambda word, m: F.replace(word, F.substring(m, 1, 2), F.substring(m, 3, 1))
