@@ -193,7 +193,7 @@ def token_text(vocab: DataFrame) -> Callable[[Column], Column]:
 
 def lookup_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Join a ``token_id`` column with the vocabulary; unknown ids keep NULLs."""
-    return tokens.join(F.broadcast(vocab), "token_id", "left")
+    return tokens.join(vocab, "token_id", "left")
 
 
 def token_byte_counts(vocab: DataFrame) -> DataFrame:

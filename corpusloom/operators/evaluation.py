@@ -21,7 +21,7 @@ def bits_per_byte(rows: DataFrame, token_bytes: DataFrame, *by: str) -> DataFram
     ``token_bytes`` is ``(token_id, n_bytes)``, at most 65,536 rows.  Negative and unknown targets
     and tokens of 0 bytes count for nothing; without a countable byte the result is NULL.
     """
-    sized = rows.join(F.broadcast(token_bytes), rows["target"] == token_bytes["token_id"], "left")
+    sized = rows.join(token_bytes, rows["target"] == token_bytes["token_id"], "left")
     counted = sized.withColumn(
         "_bytes", F.when(F.col("target") >= 0, F.coalesce("n_bytes", F.lit(0))).otherwise(0)
     )

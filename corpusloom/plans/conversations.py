@@ -9,7 +9,9 @@ from corpusloom.functions.text import byte_ids, joined
 from corpusloom.operators import bpe
 from corpusloom.operators import conversations as chat
 from corpusloom.plans.oracle_parts import byte_list
-from corpusloom.plans.tables import messages, tokenizer
+from corpusloom.plans.oracle_parts import pieces
+from corpusloom.plans.tables import MERGES, messages, tokenizer
+from corpusloom.plans.tokens import learned_sql
 
 MAX_TOKENS, SHORT = chat.MAX_TOKENS, 128
 
@@ -160,7 +162,31 @@ with {_JUDGED}, {_items(_GOOD, lines)}
 select conv_id, array_to_string(ids[:{n}], ' ') as ids, array_to_string(mask[:{n}], ' ') as mask from rendered"""
 
 
+# Learned tokens are numbered from 1000 while the ids are put together, to keep them apart from
+# the specials of the byte vocabulary.
+_TRAINED = f"""
+with recursive {_JUDGED}, {learned_sql()},
+texts as (select conv_id, ord, {pieces("text")} as ps from merged where not (sys and ord = 0)),
+applied as materialized (
+  select 0 as i, piece, array_to_string(list_transform({byte_list("piece")}, lambda b: chr(b::int)), '') as word
+  from (select distinct unnest(ps) as piece from texts)
+  union all
+  select i + 1, piece, replace(word, chr(l::int) || chr(rr::int), chr(1000 + i)) from (
+    select i, piece, word, case when l < 256 then l else l + 744 end as l, case when rr < 256 then rr else rr + 744 end as rr
+    from applied join merges on r = i)),
+enc as (
+  select conv_id, ord as place, list_transform(string_split(string_agg(word, '' order by no), ''), lambda c: ord(c)) as b
+  from (select conv_id, ord, unnest(ps) as piece, unnest(range(len(ps))) as no from texts)
+    join (select piece, word from applied where i = {MERGES}) using (piece)
+  group by conv_id, ord),
+{_items(_GOOD).replace(byte_list("text"), "coalesce((select e.b from enc e where e.conv_id = parts.conv_id and e.place = parts.ord), [])")}
+select conv_id, array_to_string(list_transform(ids[:{MAX_TOKENS}], lambda x:
+    case when x >= 1000 then x - 744 when x >= 256 then x + {MERGES} else x end), ' ') as ids,
+  array_to_string(mask[:{MAX_TOKENS}], ' ') as mask
+from rendered"""
+
 ORACLE = {
+    "render_trained": _TRAINED,
     "conversation_rejects": f"""
 with {_JUDGED}
 select conv_id, turn, reason from faults where reason is not null

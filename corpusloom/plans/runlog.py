@@ -8,7 +8,7 @@ from corpusloom.operators import runlog, sizing, snapshots
 from corpusloom.operators.running import with_position
 from corpusloom.plans.tables import byte_lengths, documents, table
 from corpusloom.sources import run_metadata
-from corpusloom.staging import fresh_path
+from corpusloom.staging import fresh_path, stage
 
 TOTAL_BATCH = 524_288
 EVAL_EVERY, SAMPLE_EVERY = 25, 20
@@ -44,7 +44,8 @@ def _log_with_length(spark, sf_dir):
 
 
 def debiased_ema(spark, sf_dir):
-    smooth = runlog.debiased_ema(_log(spark, sf_dir))
+    # The smoothing reads its input twice.
+    smooth = runlog.debiased_ema(stage(_log(spark, sf_dir), "log"))
     return smooth.select("run", "step", F.round("debiased", 6).alias("debiased"))
 
 

@@ -148,6 +148,11 @@ merges as materialized (
   select distinct round - 1 as r, ord(pair[1]) as l, ord(pair[2]) as rr from learn where round > 0)"""
 
 
+def learned_sql() -> str:
+    """CTEs up to ``merges (r, l, rr)``, symbols numbered by byte value."""
+    return _learn(_BY_VALUE)
+
+
 # Symbol strings of every document after all merges, applied in rank order.
 def _encoded_words(order: str) -> str:
     return f"""{_learn(order)},

@@ -38,7 +38,7 @@ def with_split(corpus: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     ``shards`` (any table with the shard column) may replace the corpus as the source of names,
     so that a file listing answers without reading rows.
     """
-    last = (shards or corpus).select(F.max("shard")).scalar()
+    last = (corpus if shards is None else shards).select(F.max("shard")).scalar()
     return corpus.withColumn("split", F.when(F.col("shard") == last, "val").otherwise("train"))
 
 
