@@ -55,5 +55,9 @@ HOURLY_RATES = [
 ]
 DEFAULT_HOURLY_RATE = 2.0
 
+# Facts looked for in log text: sizes and shares, and shard numbers.
+LOG_AMOUNT_PATTERN = r"(\d+\.?\d*\s*(?:GB|MB|%|docs))"
+LOG_SHARD_PATTERN = r"Shard (\d+)"
+
 # Token ids are stored as unsigned 16-bit values.
 MAX_TOKEN_IDS = 65_536

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.fixed_values import LOG_AMOUNT_PATTERN, LOG_SHARD_PATTERN
 from corpusloom.operators.running import decayed_sum, with_running
 
 WARM_UP_STEPS = 10
@@ -116,14 +117,14 @@ def parse_validation_lines(lines: DataFrame) -> DataFrame:
 def log_facts(lines: DataFrame) -> DataFrame:
     """Sizes, percentages, document counts and shard numbers named in free text, one per row."""
     sizes = F.transform(
-        F.regexp_extract_all("line", F.lit(r"(\d+\.?\d*\s*(?:GB|MB|%|docs))"), F.lit(1)),
+        F.regexp_extract_all("line", F.lit(LOG_AMOUNT_PATTERN), F.lit(1)),
         lambda m: F.struct(
             F.regexp_extract(m, r"^(\d+\.?\d*)", 1).cast("double").alias("value"),
             F.regexp_extract(m, r"(GB|MB|%|docs)$", 1).alias("unit"),
         ),
     )
     shards = F.transform(
-        F.regexp_extract_all("line", F.lit(r"Shard (\d+)"), F.lit(1)),
+        F.regexp_extract_all("line", F.lit(LOG_SHARD_PATTERN), F.lit(1)),
         lambda m: F.struct(m.cast("double").alias("value"), F.lit("shard").alias("unit")),
     )
     facts = lines.select("*", F.posexplode(F.concat(sizes, shards)).alias("fact_no", "_fact"))

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from corpusloom.staging import filesystem
+from corpusloom.staging import filesystem, qualified
 
 CONFIG_FIELDS = ("sequence_len", "vocab_size", "n_layer", "n_head", "n_kv_head", "n_embd")
 METADATA_SCHEMA = (
@@ -93,7 +93,7 @@ def read_run_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCH
     Folder names may be plain or ``name=value``.
     """
     spark.dataSource.register(RunMetadataSource)
-    texts = spark.read.format("run_metadata").load(path)
+    texts = spark.read.format("run_metadata").load(qualified(spark, path))
     extra = F.from_json("text", schema, {"allowNonNumericNumbers": "true"})
     return texts.select("run", "dir_step", extra.alias("extra"))
 
@@ -115,5 +115,5 @@ def write_run_metadata(records: DataFrame, path: str) -> str:
     texts = records.select(
         F.col("run").cast("string").alias("run"), F.col("step").cast("bigint").alias("dir_step"), F.to_json("extra").alias("text")
     )
-    texts.write.format("run_metadata").mode("append").save(path)
+    texts.write.format("run_metadata").mode("append").save(qualified(records.sparkSession, path))
     return path

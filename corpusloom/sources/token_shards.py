@@ -33,7 +33,7 @@ from corpusloom.functions.fixed_values import (
     SHARD_VERSION,
 )
 from corpusloom.operators.sequences import ordered_concat, shift
-from corpusloom.staging import filesystem
+from corpusloom.staging import filesystem, qualified
 
 FORMAT = "token_shard"
 HEADER_BYTES = SHARD_HEADER_INTS * 4
@@ -221,12 +221,12 @@ def register(spark: SparkSession) -> None:
 def read_token_shards(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Chunks ``(path, start, ids)``; ``start`` is a multiple of ``CHUNK_TOKENS``."""
     register(spark)
-    return spark.read.format(FORMAT).option("strict", str(strict).lower()).load(path)
+    return spark.read.format(FORMAT).option("strict", str(strict).lower()).load(qualified(spark, path))
 
 
 def shard_headers(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
-    return spark.read.format(FORMAT).option("view", "headers").load(path)
+    return spark.read.format(FORMAT).option("view", "headers").load(qualified(spark, path))
 
 
 def shard_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -258,7 +258,7 @@ def write_token_shards(stream: DataFrame, path: str, tokens_per_file: int = 100_
         F.slice("ids", (low - F.col("start_pos") + 1).cast("int"), (high - low).cast("int")).alias("ids"),
     )
     placed = pieces.repartition("file_no").sortWithinPartitions("file_no", "pos")
-    placed.write.format(FORMAT).mode("append").save(path)
+    placed.write.format(FORMAT).mode("append").save(qualified(stream.sparkSession, path))
     return path
 
 
@@ -266,7 +266,7 @@ def read_bos_index(spark: SparkSession, path: str, bos_id: int, strict: bool = T
     """``(path, start, n_tokens, bos)`` per chunk: where BOS stands, without shipping the tokens."""
     register(spark)
     reader = spark.read.format(FORMAT).option("view", "bos").option("bosId", bos_id)
-    return reader.option("strict", str(strict).lower()).load(path)
+    return reader.option("strict", str(strict).lower()).load(qualified(spark, path))
 
 
 def shard_documents(index: DataFrame, block_tokens: int = 1 << 23) -> DataFrame:

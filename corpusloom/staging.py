@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme Spark would give it, so that Python readers open the same files."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path for readers that run in Python; schemes as in Hadoop paths."""
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
