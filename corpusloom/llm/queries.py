@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import hyperdim, simhash, syncmers, token_counts
+from corpusloom.llm import feistel, hyperdim, mixing, shards, simhash, syncmers, token_counts
+
+# Key of the registered query; real users pass a secret of their own.
+PSEUDONYM_KEY = "registered query"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,10 @@ def _fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise(_documents(spark, sf_dir), PSEUDONYM_KEY)
+
+
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_following(_documents(spark, sf_dir))
 
@@ -35,13 +42,24 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign_shards(_documents(spark, sf_dir)).drop("pos")
+
+
+def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).drop("copies")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_feistel_pseudonyms,
         op2_syncmer_fingerprints,
         op3_hyperdimensional_language,
         op4_token_counts,
         op6_simhash_near_duplicates,
+        op7_balanced_shards,
+        op9_pivotal_mixing,
     )
 }
 ORACLE: dict[str, str] = {}
