@@ -236,7 +236,7 @@ def _date(v: Column, key: str) -> Column:
 
     def written(n: Column) -> Column:
         new = F.date_add(first, n.cast("int"))
-        wide = F.when(iso, F.concat_ws(F.substring(v, 5, 1), F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")))
+        wide = F.when(iso, F.when(v.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "yyyy/MM/dd")))
         wide = wide.when(dotted, F.date_format(new, "dd.MM.yyyy")).when(month_first, F.date_format(new, "MM/dd/yyyy"))
         narrow = F.when(dotted, F.date_format(new, "d.M.yyyy")).when(month_first, F.date_format(new, "M/d/yyyy")).otherwise(F.date_format(new, "d/M/yyyy"))
         return F.when(iso | padded, wide.otherwise(F.date_format(new, "dd/MM/yyyy"))).otherwise(narrow)

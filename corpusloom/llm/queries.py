@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import feistel, hyperdim, mixing, shards, simhash, syncmers, token_counts
+from corpusloom.llm import attention, feistel, hyperdim, mixing, shards, simhash, syncmers, token_counts
 
 # Key of the registered query; real users pass a secret of their own.
 PSEUDONYM_KEY = "registered query"
@@ -38,6 +38,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return attention.score_texts(_documents(spark, sf_dir), _fold(5) == 1, path, public_tokenizers.PATTERN)
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -57,6 +64,7 @@ QUERIES = {
         op2_syncmer_fingerprints,
         op3_hyperdimensional_language,
         op4_token_counts,
+        op5_attention_scores,
         op6_simhash_near_duplicates,
         op7_balanced_shards,
         op9_pivotal_mixing,
