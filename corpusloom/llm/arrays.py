@@ -54,3 +54,22 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each span ``bounds[i]:bounds[i + 1]``; empty spans give 0."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word of a string array without nulls."""
+    if len(words) == 0:
+        return np.zeros(0, np.uint64)
+    raw = words.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1) if data else np.zeros(0, np.uint64)
+    lengths = np.diff(ends)
+    place = np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], lengths)
+    # Positions 64 apart share a power but not the scrambled value.
+    mixed = mix64(values + (place.astype(np.uint64) << np.uint64(8))) * _POWERS[place & 63]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    return mix64((total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]) ^ lengths.astype(np.uint64))

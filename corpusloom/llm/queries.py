@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import attention, feistel, hyperdim, mixing, shards, simhash, syncmers, token_counts
+from corpusloom.llm import attention, chaining, feistel, hyperdim, latent, mixing, shards, simhash, syncmers, token_counts
 
 # Key of the registered query; real users pass a secret of their own.
 PSEUDONYM_KEY = "registered query"
@@ -53,10 +53,18 @@ def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(_documents(spark, sf_dir)).drop("pos")
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("copies")
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,7 +75,9 @@ QUERIES = {
         op5_attention_scores,
         op6_simhash_near_duplicates,
         op7_balanced_shards,
+        op8_latent_decontamination,
         op9_pivotal_mixing,
+        op10_repeated_passages,
     )
 }
 ORACLE: dict[str, str] = {}
