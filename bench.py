@@ -45,6 +45,7 @@ def main(names: list[str]) -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.corpusloom.inputPartitions", cpus)  # the bench tables are single row groups
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -69,22 +69,37 @@ def greedy(logits: Column) -> Column:
     return let(logits, lambda l: F.array_position(l, F.array_max(l)) - 1).cast("int")
 
 
+def uniform(row_id: Column, seed: int) -> Column:
+    """A number strictly between 0 and 1 from the first 52 bits of md5(``row_id:seed``)."""
+    digits = F.substring(F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("bigint") + 0.5) / F.lit(float(1 << 52))
+
+
 def sample(logits: Column, row_id: Column, temperature: float, seed: int, k: int | None = None) -> Column:
     """A token drawn by softmax(logits / temperature); greedy at temperature 0.
 
-    Gumbel-max with noise hashed from (row, index, seed): the draw depends on the data alone, not
-    on partitioning or retries.
+    The cumulative probabilities are cut at one uniform number per row, hashed from the row and the
+    seed: the draw depends on the data alone, not on partitioning or retries.
     """
     kept = doubles(logits) if k is None else top_k_mask(logits, k)
     if temperature <= 0:
         return greedy(kept)
 
-    def noise(i: Column) -> Column:
-        # 53 hash bits, centred in their cell: strictly between 0 and 1.
-        bits = F.shiftrightunsigned(F.xxhash64(row_id, i, F.lit(seed)), 11).cast("double")
-        return -F.log(-F.log((bits + 0.5) / F.lit(float(1 << 53))))
+    def below(scores: Column, drawn: Column) -> Column:
+        """How many tokens end at or below the drawn number."""
+
+        def step(acc: Column, x: Column) -> Column:
+            total = acc["total"] + x
+            return F.struct(total.alias("total"), (acc["n"] + (total <= drawn).cast("int")).alias("n"))
+
+        return F.aggregate(scores, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+
+    def choose(scores: Column) -> Column:
+        # Rounding may leave the last sum below the drawn number: then the last possible token.
+        last = F.size(scores) - F.array_position(F.reverse(F.transform(scores, lambda x: x > 0)), F.lit(True))
+        return F.least(let(uniform(row_id, seed), lambda drawn: below(scores, drawn)), last)
 
-    return greedy(F.transform(kept, lambda x, i: x / temperature + noise(i)))
+    return let(softmax(F.transform(kept, lambda x: x / temperature)), choose).cast("int")
 
 
 def rms_normalize(vector: Column, epsilon: float = 1e-6) -> Column:

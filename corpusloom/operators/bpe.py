@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.fixed_values import MAX_TOKEN_IDS, SPECIAL_TOKENS, SPLIT_PATTERN
+from corpusloom.functions.fixed_values import SPECIAL_TOKENS, SPLIT_PATTERN
 from corpusloom.functions.text import byte_chars, pretokens
 from corpusloom.staging import fresh_path, spread, stage
 
@@ -172,8 +172,6 @@ def train(
     n_merges = vocab_size - len(SPECIAL_TOKENS) - BYTES
     if n_merges < 0:
         raise ValueError(f"vocab_size must be at least {BYTES + len(SPECIAL_TOKENS)}, not {vocab_size}")
-    if vocab_size > MAX_TOKEN_IDS:
-        raise ValueError(f"token ids are 16 bits wide: vocab_size must not exceed {MAX_TOKEN_IDS}")
     merges = learn_merges(pretoken_histogram(spread(corpus), pattern), n_merges, layout=layout) if n_merges else []
     return tables(corpus.sparkSession, merges, layout)
 
@@ -181,7 +179,7 @@ def train(
 def tables(
     spark: SparkSession, merges: list[tuple[int, int]], layout: str = "rank"
 ) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and merge tables for symbol pairs in merge order (at most 65,536 rows each)."""
+    """Vocabulary and merge tables for symbol pairs in merge order."""
     specials_first = layout == "specials_first"
     base = len(SPECIAL_TOKENS) if specials_first else 0
     token_bytes = [bytes([b]) for b in byte_order(layout)]

@@ -2,7 +2,7 @@
 
 Encoding is narrow: the JVM cuts text into pieces, a task encodes each distinct piece of an Arrow
 batch once and gathers ids with NumPy.  No piece is shuffled, so frequent pieces cost nothing
-extra.  The broadcast vocabulary is bounded by the 16-bit token id.
+extra.  The broadcast vocabulary is checked against a limit in bytes.
 """
 
 from __future__ import annotations
@@ -15,19 +15,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.fixed_values import MAX_TOKEN_IDS, SPLIT_PATTERN
+from corpusloom.functions.fixed_values import SPLIT_PATTERN
 from corpusloom.functions.text import byte_ids, pretokens
 
 # Distinct pieces a task remembers between Arrow batches.
 MEMO_PIECES = 1_000_000
 
 
+# Largest vocabulary that is sent to tasks, in bytes: its tokens and 16 bytes for each.
+MAX_VOCAB_BYTES = 256 << 20
+
+
 def vocab_rows(vocab: DataFrame) -> list:
-    """The whole vocabulary on the driver, after checking that it is one."""
-    rows = vocab.orderBy("token_id").limit(MAX_TOKEN_IDS + 1).collect()
-    if len(rows) > MAX_TOKEN_IDS:
-        raise ValueError(f"a vocabulary has at most {MAX_TOKEN_IDS} ids")
-    return rows
+    """The whole vocabulary on the driver, in id order, after checking its size."""
+    held = vocab.agg(F.coalesce(F.sum(F.octet_length("bytes") + 16), F.lit(0)).cast("bigint").alias("n")).first()["n"]
+    if held > MAX_VOCAB_BYTES:
+        raise ValueError(f"the vocabulary takes {held} bytes; the limit is {MAX_VOCAB_BYTES}")
+    return vocab.orderBy("token_id").collect()
 
 
 def merge_piece(piece: bytes, first_ids: list[int], rank: Callable, token: Callable) -> list[int]:
@@ -164,31 +168,51 @@ def encode_corpus(
     return corpus.withColumn("ids", with_ends(ids, resolve(prepend), resolve(append)))
 
 
+# Stands in the id table for an id that no token has; no hex digits.
+_GAP = "-"
+_REPLACEMENT = "efbfbd"
+
+
 def _id_table(vocab: DataFrame, of: Callable) -> tuple[Column, int]:
-    """A constant array indexed by token id + 1; ids are dense from 0."""
-    rows = vocab_rows(vocab)
+    """A constant array indexed by token id + 1, and its length; ids without a token are gaps."""
+    found = {r["token_id"]: of(r) for r in vocab_rows(vocab)}
+    size = max(found, default=-1) + 1
     # One literal split at planning time: far cheaper than one literal per id.
-    return F.split(F.lit(",".join(of(r) for r in rows)), ","), len(rows)
+    return F.split(F.lit(",".join(found.get(i, _GAP) for i in range(size))), ","), size
+
 
+def _at(table: Column, size: int, i: Column, unknown: Column) -> Column:
+    entry = F.when((i >= 0) & (i < size), F.element_at(table, i + 1))
+    return F.when(entry != _GAP, entry).when(i.isNotNull(), unknown)
 
-def id_bytes(vocab: DataFrame) -> Callable[[Column], Column]:
-    """A function from an id array to the hex digits of its bytes; specials give their name."""
+
+def id_bytes(vocab: DataFrame, errors: str = "strict") -> Callable[[Column], Column]:
+    """A function from an id array to the hex digits of its bytes; specials give their name.
+
+    An id without a token is an error, or with ``errors="replace"`` the character U+FFFD.
+    """
+    if errors not in ("strict", "replace"):
+        raise ValueError(f"errors must be strict or replace, not {errors!r}")
     table, size = _id_table(vocab, lambda r: bytes(r["bytes"]).hex())
-    return lambda ids: F.array_join(
-        F.transform(ids, lambda i: F.when((i >= 0) & (i < size), F.element_at(table, i + 1))), ""
-    )
+
+    def unknown(i: Column) -> Column:
+        if errors == "replace":
+            return F.lit(_REPLACEMENT)
+        return F.raise_error(F.concat(F.lit("no token has id "), i.cast("string"))).cast("string")
+
+    return lambda ids: F.array_join(F.transform(ids, lambda i: _at(table, size, i, unknown(i))), "")
 
 
-def decoder(vocab: DataFrame) -> Callable[[Column], Column]:
-    """A function from an id array to text; malformed bytes become U+FFFD."""
-    to_hex = id_bytes(vocab)
+def decoder(vocab: DataFrame, errors: str = "strict") -> Callable[[Column], Column]:
+    """A function from an id array to text; malformed bytes become U+FFFD; unknown ids as in ``id_bytes``."""
+    to_hex = id_bytes(vocab, errors)
     return lambda ids: F.make_valid_utf8(F.unhex(to_hex(ids)).cast("string"))
 
 
 def token_text(vocab: DataFrame) -> Callable[[Column], Column]:
-    """A function from one token id to its own text, decoded alone."""
+    """A function from one token id to its own text, decoded alone; NULL if no token has it."""
     table, size = _id_table(vocab, lambda r: bytes(r["bytes"]).hex())
-    return lambda i: F.make_valid_utf8(F.unhex(F.element_at(table, i + 1)).cast("string"))
+    return lambda i: F.make_valid_utf8(F.unhex(_at(table, size, i, F.lit(None).cast("string"))).cast("string"))
 
 
 def lookup_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.running import with_position
 from corpusloom.operators.sequences import ordered_concat, shift
 from corpusloom.staging import stage
 
@@ -153,6 +154,13 @@ def pack_plan(
     """
     length = int(seq_len) + 1
     offsets = stage(offsets.select("shard", "ord", "n", "shard_pos"), "lengths")
+    named = None
+    if not offsets.filter("n <= 0").isEmpty():
+        # Documents without tokens take no place in a row; the others are numbered anew meanwhile.
+        filled = with_position(offsets.filter("n > 0"), ["shard"], "ord", "_dense")
+        filled = stage(filled, "lengths")
+        named = filled.select("shard", F.col("_dense").alias("ord"), F.col("ord").alias("_named"))
+        offsets = filled.select("shard", F.col("_dense").alias("ord"), "n", "shard_pos")
     block = max(block_docs or 16 * length, length)  # a row then never reaches past the next block
     shard_tokens = offsets.groupBy("shard").agg(
         F.sum("n").alias("shard_tokens"), F.max("ord").alias("_last_ord")
@@ -196,6 +204,8 @@ def pack_plan(
         )
     )
     B = int(batch_rows)
+    if named is not None:
+        rows = rows.join(named, ["shard", "ord"]).withColumn("ord", F.col("_named")).drop("_named")
     return (
         rows.join(shard_rows, "shard")
         .filter(F.expr(f"row_no div {B} < n_rows div {B}"))

@@ -75,32 +75,44 @@ def with_position(
     return counted.withColumn(name, F.col(name) - 1)
 
 
+# A block of a decayed sum ends where its first value weighs about this much.
+_LEAST_WEIGHT = 1e-150
+
+
 def decayed_sum(
     df: DataFrame, key: list[str], position: str, value: str, decay: float, name: str
 ) -> DataFrame:
     """Add ``sum(decay ** (t - i) * value_i for i <= t)`` with ``t`` the 0-based ``position``.
 
-    Within a block the sum is one window over ``value * decay ** -i``; the block length keeps
-    that power far from overflow.  A block passes its last sum on to the next one: the same
-    recurrence with decay ``decay ** block``, over a table that is a block length smaller.
+    Within a block the sum is one window over values weighted relative to the block's end, so
+    large values cannot overflow.  A block passes its last sum on to the next ones: by the same
+    recurrence with decay ``decay ** block`` over a table that is a block length smaller or, once that
+    decay is tiny, from the three blocks before, beyond which a weight has no digit left.  NaN and
+    infinities never fade: what has been met so far travels as bits beside the finite sums.
     """
-    block, carry = f"_block_of_{position}", f"_carry_of_{name}"
-    m = max(2, min(BLOCK_ROWS, int(400 / -math.log(decay)))) if 0.0 < decay < 1.0 else BLOCK_ROWS
+    block, carry, seen, met = f"_block_of_{position}", f"_carry_of_{name}", f"_seen_of_{name}", f"_met_of_{name}"
+    m = max(2, min(BLOCK_ROWS, int(math.log(_LEAST_WEIGHT) / math.log(decay)))) if 0.0 < decay < 1.0 else BLOCK_ROWS
     step = F.expr(f"`{position}` % {m}").cast("double")
-    rows = df.select("*", block_of(position, m).alias(block), step.alias("_j"))
+    x = F.col(value).cast("double")
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    bits = F.when(F.isnan(x), 1).when(x == float("inf"), 2).when(x == float("-inf"), 4).otherwise(0)
+    rows = df.select("*", block_of(position, m).alias(block), step.alias("_j"), F.when(odd, 0.0).otherwise(x).alias("_x"), bits.alias("_bits"))
     upto_here = Window.partitionBy(*key, block).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    weighted = F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_j"))).over(upto_here)
-    rows = rows.withColumn(name, weighted * F.pow(F.lit(decay), F.col("_j")))
+    weight = F.pow(F.lit(decay), F.lit(m - 1) - F.col("_j"))
+    rows = rows.withColumns({name: F.sum(F.col("_x") * weight).over(upto_here) / weight, seen: F.bit_or("_bits").over(upto_here)})
 
-    ends = rows.filter(F.col("_j") == m - 1).select(*key, block, F.col(name).alias("_end"))
+    ends = rows.filter(F.col("_j") == m - 1).select(*key, block, F.col(name).alias("_end"), F.col(seen).alias("_ended"))
+    in_order = Window.partitionBy(*key).orderBy(block)
     block_decay = decay**m
-    if block_decay > 1e-40:
+    if block_decay > 1e-100:
         ends = decayed_sum(ends, key, block, "_end", block_decay, carry)
     else:
-        # Older blocks weigh less than a double can show, except that NaN stays NaN.
-        upto_block = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
-        spoiled = F.max(F.isnan("_end")).over(upto_block)
-        ends = ends.withColumn(carry, F.when(spoiled, F.lit(float("nan"))).otherwise(F.col("_end")))
-    carries = ends.select(*key, (F.col(block) + 1).alias(block), carry)
+        before = lambda n: F.coalesce(F.lag("_end", n).over(in_order), F.lit(0.0))
+        ends = ends.withColumn(carry, F.col("_end") + before(1) * block_decay + before(2) * block_decay**2)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    carries = ends.select(*key, (F.col(block) + 1).alias(block), carry, F.bit_or("_ended").over(so_far).alias(met))
     total = F.col(name) + F.coalesce(F.col(carry) * F.pow(F.lit(decay), F.col("_j") + 1), F.lit(0.0))
-    return rows.join(carries, [*key, block], "left").select(*df.columns, total.alias(name))
+    flags = F.col(seen).bitwiseOR(F.coalesce(F.col(met), F.lit(0)))
+    spoiled = F.when(flags.bitwiseAND(F.lit(1)).cast("boolean") | (flags.bitwiseAND(F.lit(6)) == 6), float("nan"))
+    spoiled = spoiled.when(flags == 2, float("inf")).when(flags == 4, float("-inf"))
+    return rows.join(carries, [*key, block], "left").select(*df.columns, spoiled.otherwise(total).alias(name))

@@ -38,6 +38,12 @@ def corpus_profile(spark, sf_dir):
     return corpus.size_profile(documents(spark, sf_dir), "shard")
 
 
+def corpus_rejects(spark, sf_dir):
+    """Texts shorter than 200 bytes count as missing here, for the tables have no null texts."""
+    text = F.when(F.octet_length("text") >= 200, F.col("text"))
+    return corpus.reject_null_text(documents(spark, sf_dir).withColumn("text", text))[1]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -48,6 +54,7 @@ QUERIES = {
         shard_manifest,
         shard_manifest_totals,
         corpus_profile,
+        corpus_rejects,
     )
 }
 
@@ -55,6 +62,8 @@ _NUMBERED = """select source as shard, doc_id,
   row_number() over (partition by source order by doc_id) - 1 as row_index from documents"""
 
 ORACLE = {
+    "corpus_rejects": """
+select source as shard, doc_id as row_index, 'null_text' as reason from documents where strlen(text) < 200""",
     "corpus_scan": "select 'documents.parquet' as shard, doc_id as row_index, text from documents",
     "train_val_split": """
 select source as shard, doc_id as row_index,

@@ -176,6 +176,14 @@ select row_id, (unnest(range(len(l))))::int as index, round(unnest(list_transfor
 from norm""",
     "greedy_token": f"""
 with {_SCORED} select row_id, (list_position(logits, list_max(logits)) - 1)::int as token from scored""",
+    "sample_token": f"""
+with {_SCORED},
+hot as (select row_id, list_transform(logits, lambda x: case when x < list_reverse_sort(logits)[{TOP_K}] then null else x / {TEMPERATURE} end) as l
+  from scored),
+parts as (select row_id, list_transform(l, lambda x: coalesce(exp(x - list_max(l)), 0)) as e from hot),
+shares as (select row_id, list_transform(e, lambda x: x / list_sum(e)) as p,
+  (('0x' || substr(md5(row_id || ':{SEED}'), 1, 13))::bigint + 0.5) / {float(1 << 52)} as u from parts)
+select row_id, len(list_filter(range(1, len(p) + 1), lambda i: list_sum(p[1:i]) <= u))::int as token from shares""",
     "rms_normalize": _each(
         "list_transform(logits, lambda x: x / sqrt(list_sum(list_transform(logits, lambda y: y * y)) / len(logits) + 1e-6))"
     ),

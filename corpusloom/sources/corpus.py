@@ -28,8 +28,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reject_null_text(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be encoded, and the rest."""
-    return corpus.filter(F.col("text").isNotNull()), corpus.filter(F.col("text").isNull())
+    """Rows that can be encoded, and ``(shard, row_index, reason)`` of the rest."""
+    rejects = corpus.filter(F.col("text").isNull()).select("shard", "row_index", F.lit("null_text").alias("reason"))
+    return corpus.filter(F.col("text").isNotNull()), rejects
 
 
 def with_split(corpus: DataFrame, shards: DataFrame | None = None) -> DataFrame:
@@ -43,14 +44,18 @@ def with_split(corpus: DataFrame, shards: DataFrame | None = None) -> DataFrame:
 
 
 def read_split(corpus: DataFrame, split: str) -> DataFrame:
-    """Rows of one split.  A one-shard corpus has no training rows, which is an error here."""
+    """Rows of one split.  A one-shard corpus has no training rows, which is an error here.
+
+    The last shard's name is looked up first and compared as a literal, so a scan with
+    ``_metadata`` columns opens only the files of the split.
+    """
     if split not in SPLITS:
         raise ValueError(f"split must be one of {SPLITS}, not {split!r}")
-    marked = with_split(corpus)
-    rows = marked.filter(F.col("split") == split).drop("split")
-    if split == "train" and rows.isEmpty():
+    ends = corpus.agg(F.min("shard").alias("first"), F.max("shard").alias("last")).first()
+    if split == "train" and ends["first"] == ends["last"]:
         raise ValueError("the corpus has a single shard: no training split")
-    return rows
+    is_last = F.col("shard") == F.lit(ends["last"])
+    return corpus.filter(is_last if split == "val" else ~is_last)
 
 
 def row_group(rows_per_group: int) -> Column:

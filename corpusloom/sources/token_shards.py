@@ -242,9 +242,13 @@ def shard_tokens(chunks: DataFrame) -> DataFrame:
 def write_token_shards(stream: DataFrame, path: str, tokens_per_file: int = 100_000_000) -> str:
     """Write a token stream ``(start_pos, ids)`` as numbered files of ``tokens_per_file`` tokens.
 
-    Documents are cut at file borders, so no task writes more than its files' fixed size.
+    Documents are cut at file borders, so no task writes more than its files' fixed size.  The
+    folder must be new or empty.
     """
     register(stream.sparkSession)
+    system, root = filesystem(qualified(stream.sparkSession, path))
+    if system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        raise FileExistsError(f"{path} is not empty: files of an earlier write would be replaced")
     size = int(tokens_per_file)
     total = stream.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("bigint")).scalar()
     files = F.sequence(F.expr(f"start_pos div {size}"), F.expr(f"(start_pos + size(ids) - 1) div {size}"))

@@ -52,20 +52,12 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for ``df`` (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input of few row groups so that all cores share the work on it.
+    """Repartition an input whose files have fewer row groups than there are cores.
 
-    A Parquet row group is one task however many splits its file has.  Only an input too small
-    to give each core one full split is shuffled; larger inputs are returned as they are.
+    A Parquet row group is one task however many splits its file has.  Nothing is guessed from the
+    data: the session setting ``spark.corpusloom.inputPartitions`` asks for it, and without it the input is
+    returned as it is.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    if estimated_bytes(df) >= cores * split:
-        return df
-    return df.repartition(cores, *keys)
+    parts = df.sparkSession.conf.get("spark.corpusloom.inputPartitions", None)
+    return df.repartition(int(parts), *keys) if parts else df
