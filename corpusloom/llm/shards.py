@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked.  Linked documents get seed labels (shards) that leave every
-shard the same share of them.  In each round a group of linked documents whose members bear
+Documents with equal texts are linked.  Linked documents get seed labels (shards), group beside
+group, that leave some of each shard's quota free.  In each round a group of linked documents whose members bear
 several labels moves towards the label most of its members have, as far as the quota of that shard
 leaves room; moves that would exceed it are refused.  Documents without a link then fill every
 shard to exactly its quota, so that counts differ by one at most (law ``rows``).
@@ -9,6 +9,8 @@ shard to exactly its quota, so that counts differ by one at most (law ``rows``).
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from corpusloom.llm.ranks import with_global_position, with_slot
 from corpusloom.staging import stage
 
 SHARDS, ROUNDS, PER_DOCUMENT = 40, 3, 16
+# Share of a shard's quota that seeds may take.
+SEEDED = 0.9
 
 
 def _propagate(labels: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
@@ -69,8 +73,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, t
     totals = ranked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("alone")).alias("linked")).first()
     n, linked = totals["n"], totals["linked"]
     quotas = [n * (s + 1) // shards - n * s // shards for s in range(shards)]
-    seed = F.expr(f"int(pos * {shards} div {max(1, linked)})")
-    labels = ranked.where("not alone").select("pos", "link", seed.alias("shard"))
+    longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    passed = lambda ends: F.size(F.filter(longs(ends), lambda e: e <= F.col("pos"))).cast("int")
+    # Seeds fill shards in order, and leave room for moves unless nearly all documents are linked.
+    seeds = [int(SEEDED * q) for q in quotas]
+    seeds = seeds if sum(seeds) >= linked else quotas
+    labels = ranked.where("not alone").select("pos", "link", passed(list(accumulate(seeds))).alias("shard"))
     labels = _propagate(labels, quotas, rounds) if linked else labels
     labels = stage(with_slot(labels.select("pos", "shard"), "shard", "pos", "slot"), "labels")
     held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -80,9 +88,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, t
         starts.append(first - held.get(s, 0))
         first += quotas[s] - held.get(s, 0)
         ends.append(first)
-    longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
-    filled = F.size(F.filter(longs(ends), lambda e: e <= F.col("pos"))).cast("int")
-    alone = ranked.where("alone").withColumn("shard", filled).withColumn("slot", F.col("pos") - F.get(longs(starts), F.col("shard")))
+    alone = ranked.where("alone").withColumn("shard", passed(ends)).withColumn("slot", F.col("pos") - F.get(longs(starts), F.col("shard")))
     placed = ranked.where("not alone").join(labels, "pos").select(*alone.columns).unionByName(alone)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
