@@ -162,7 +162,8 @@ def test_shards_are_even_and_copies_stay_together(spark):
     for s in range(40):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
     text = {i: t for i, t, *_ in rows}
-    assert len({r.shard for r in got if text[r.doc_id] == "same"}) <= 15
+    # 334 copies; a shard of 25 takes 22 seeds, so they fill 16 shards and may touch one more.
+    assert len({r.shard for r in got if text[r.doc_id] == "same"}) <= 17
 
 
 def test_mix_reaches_its_targets_and_repeats(spark):
