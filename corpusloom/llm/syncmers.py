@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import code_points, mix64
-from corpusloom.staging import stage
+from corpusloom.staging import fresh_path
 
 K, S, ANCHORS = 16, 8, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -168,7 +168,9 @@ def compare_with_following(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield batch_of([(held[0], *empty, part, "tail", held[1])])
 
-    staged = stage(placed.mapInArrow(in_order, schema), "fingerprints")
+    target_path = fresh_path(docs.sparkSession, "fingerprints")
+    placed.mapInArrow(in_order, schema).write.option("compression", "zstd").parquet(target_path)
+    staged = docs.sparkSession.read.schema(schema).parquet(target_path)
     heads = staged.where("place = 'head'").select("part", F.col("body").alias("following"))
     # One number per partition, not per document.
     parts = sorted(r["part"] for r in staged.where("place = 'head'").select("part").collect())
