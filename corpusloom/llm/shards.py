@@ -63,8 +63,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, t
         ),
         "slim",
     )
-    copies = slim.groupBy("link").agg(F.count(F.lit(1)).alias("copies"))
-    marked = slim.join(copies, "link").withColumn("alone", F.col("copies") == 1).withColumn("_row", F.monotonically_increasing_id())
+    # Staged, so that the join has plain sides and a very large group can be split.
+    linking = stage(slim.groupBy("link").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "links")
+    marked = slim.join(linking, "link", "left").withColumn("alone", F.col("copies").isNull()).withColumn("_row", F.monotonically_increasing_id())
     # Linked documents first, groups side by side.
     ranked = with_global_position(
         marked, [F.col("alone"), F.col("link"), F.col("doc_id"), F.col("_row")], "pos"
