@@ -103,7 +103,7 @@ def stream_batches(
     )
     row_start = F.expr(f"(_row div {B}) * {span} + (_row % {B}) * {T}")
     parts = (
-        touched.filter(F.expr(f"_row div {B}") < F.floor(total / span))
+        touched.filter(F.expr(f"_row div {B}") < F.call_function("div", total, F.lit(span)))
         .withColumn("_from", F.greatest(row_start, F.col("start_pos")))
         .withColumn("_to", F.least(row_start + T + 1, F.col("_end")))
         .select(

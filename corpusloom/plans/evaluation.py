@@ -59,9 +59,8 @@ def bpb_first_n(spark, sf_dir):
 
 
 def masked_loss(spark, sf_dir):
-    # A target other than the sentinel must be a token id: -2 reads as the last one.
-    rows = _scored(spark, sf_dir).withColumn("logit_at", F.when(F.col("target") == -2, F.size("logits") - 2).otherwise(F.col("target")))
-    rows = evaluation.with_nats(rows, target="logit_at")
+    # A target other than the sentinel must be a token id: -2 reads as the last but one.
+    rows = evaluation.with_nats(_scored(spark, sf_dir), ignore=-1)
     return _rounded(evaluation.masked_mean_loss(rows, "batch_id"), "loss")
 
 

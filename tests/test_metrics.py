@@ -71,6 +71,15 @@ def test_losses(spark):
     assert evaluation.masked_mean_loss(df.filter("target = -1")).first().loss == 0.0
     # Only the sentinel is masked: -2 still counts as a token here.
     assert evaluation.masked_mean_loss(df).first().n_tokens == 4
+    assert evaluation.masked_mean_loss(df).first().loss is None
+    # With the sentinel named, -2 is the last token but one; targets past the end have no nats.
+    more = [*rows, (1, [1.0, 2.0, 0.5], 7)]
+    wrapped = evaluation.with_nats(spark.createDataFrame(more, "b int, logits array<float>, target int"), ignore=-1)
+    losses = {r.b: r.loss for r in evaluation.masked_mean_loss(wrapped, "b").collect()}
+    assert losses == {0: pytest.approx((nats.sum() + nats[1]) / 4), 1: None}
+    sevens = spark.createDataFrame([(7, 5), (1, 3)], "token_id int, n_bytes int")
+    by = {r.b: (r.total_bytes, r.bpb) for r in evaluation.bits_per_byte(wrapped, sevens, "b").collect()}
+    assert by[0][0] == 3 and by[1] == (0, None)
 
 
 def test_step_lines(spark):
