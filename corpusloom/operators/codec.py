@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,7 @@ def encode_corpus(
     prepend: int | str | None = None,
     append: int | str | None = None,
     merges: DataFrame | None = None,
+    pattern: str = SPLIT_PATTERN,
 ) -> DataFrame:
     """Add ``ids ARRAY<INT>``; an end is a token id or the name of a special token."""
 
@@ -164,10 +166,27 @@ def encode_corpus(
             raise ValueError(f"{end!r} is not a special token")
         return found
 
-    ids = encoder(vocab, merges)(F.col("text"))
+    ids = encoder(vocab, merges, pattern)(F.col("text"))
     return corpus.withColumn("ids", with_ends(ids, resolve(prepend), resolve(append)))
 
 
+class Tokenizer(NamedTuple):
+    """Vocabulary, merges, split pattern and layout together, so that all of them reach the encoder."""
+
+    vocab: DataFrame
+    merges: DataFrame
+    pattern: str = SPLIT_PATTERN
+    layout: str = "rank"
+
+    def encode(self, corpus: DataFrame, prepend: int | str | None = None, append: int | str | None = None) -> DataFrame:
+        """Add ``ids`` to a corpus by the layout's own rule."""
+        merges = None if self.layout == "rank" else self.merges
+        return encode_corpus(corpus, self.vocab, prepend=prepend, append=append, merges=merges, pattern=self.pattern)
+
+    def decode(self, ids: Column, errors: str = "strict") -> Column:
+        return decoder(self.vocab, errors)(ids)
+
+
 # Stands in the id table for an id that no token has; no hex digits.
 _GAP = "-"
 _REPLACEMENT = "efbfbd"

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.tables import documents, numbered_documents
 from corpusloom.sources import corpus
+from corpusloom.staging import fresh_path
 
 GROUP_ROWS, BATCH_ROWS, WORLD, WANTED = 16, 8, 4, 25
+# No multiple of the group size, so that the last group of a file is a short one.
+FILE_ROWS = 1000
 
 
 def corpus_scan(spark, sf_dir):
@@ -22,6 +25,21 @@ def rank_partition(spark, sf_dir):
     return corpus.with_rank(numbered_documents(spark, sf_dir), WORLD, GROUP_ROWS)
 
 
+def row_group_partition(spark, sf_dir):
+    """Ranks over the real row groups of files with up to ``FILE_ROWS`` documents of one shard."""
+    path = fresh_path(spark, "grouped")
+    docs = numbered_documents(spark, sf_dir).withColumn("file_no", F.expr(f"row_index div {FILE_ROWS}"))
+    placed = docs.select("shard", "file_no", "doc_id", F.col("row_index").alias("_at")).repartition("shard", "file_no")
+    writer = placed.sortWithinPartitions("shard", "file_no", "_at").write.partitionBy("shard", "file_no")
+    writer.option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
+    rows = spark.read.parquet(path).select(
+        "shard", F.col("file_no").cast("bigint").alias("file_no"), "doc_id",
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"),
+    )
+    found = corpus.with_row_group(rows, corpus.row_groups(spark, path)).drop("file")
+    return found.withColumn("rank", F.pmod("row_group", F.lit(WORLD)))
+
+
 def doc_batches(spark, sf_dir):
     return corpus.with_doc_batch(numbered_documents(spark, sf_dir), GROUP_ROWS, BATCH_ROWS)
 
@@ -50,6 +68,7 @@ QUERIES = {
         corpus_scan,
         train_val_split,
         rank_partition,
+        row_group_partition,
         doc_batches,
         shard_manifest,
         shard_manifest_totals,
@@ -71,6 +90,10 @@ select source as shard, doc_id as row_index,
 from documents""",
     "rank_partition": f"""
 select *, row_index // {GROUP_ROWS} as row_group, (row_index // {GROUP_ROWS}) % {WORLD} as rank from ({_NUMBERED})""",
+    "row_group_partition": f"""
+select shard, row_index // {FILE_ROWS} as file_no, doc_id, row_index % {FILE_ROWS} as row_index,
+  (row_index % {FILE_ROWS}) // {GROUP_ROWS} as row_group, (row_index % {FILE_ROWS}) // {GROUP_ROWS} % {WORLD} as rank
+from ({_NUMBERED})""",
     "doc_batches": f"""
 select *, row_index // {GROUP_ROWS} as row_group, (row_index % {GROUP_ROWS}) // {BATCH_ROWS} as doc_batch
 from ({_NUMBERED})""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.fixed_values import SHARD_MAGIC, SHARD_VERSION
 from corpusloom.functions.text import byte_ids, joined
 from corpusloom.operators import packing, sequences
 from corpusloom.operators.codec import with_ends
@@ -113,6 +114,12 @@ def token_shard_scan(spark, sf_dir):
     return chunks.select(_file("path").alias("file"), "start", joined(F.col("ids")).alias("ids"))
 
 
+def token_shard_headers(spark, sf_dir):
+    """Header of every file and, if it cannot be read, why."""
+    headers = token_shards.shard_headers(spark, _token_files(spark, sf_dir))
+    return headers.withColumn("file", _file("path")).drop("path")
+
+
 def token_shard_roundtrip(spark, sf_dir):
     index = stage(token_shards.read_bos_index(spark, _token_files(spark, sf_dir), BOS), "bos")
     docs = token_shards.shard_documents(index)
@@ -148,6 +155,7 @@ QUERIES = {
         packed_sequences,
         packing_audit,
         token_shard_scan,
+        token_shard_headers,
         token_shard_roundtrip,
         token_shard_batches,
         streaming_batches,
@@ -258,6 +266,13 @@ with {OFFSETS}, {_TOKENS}, {_FILES}
 select shard as file, spot // {token_shards.CHUNK_TOKENS} * {token_shards.CHUNK_TOKENS} as start,
   string_agg(t::varchar, ' ' order by spot) as ids
 from filed group by all""",
+    "token_shard_headers": f"""
+with total as (select sum(strlen(text) + 1)::bigint as t from documents),
+files as (select i, least({FILE_TOKENS}, t - i * {FILE_TOKENS})::bigint as n
+  from total, range((select (t + {FILE_TOKENS - 1}) // {FILE_TOKENS} from total)) r(i))
+select printf('tokens_%06d.bin', i::int) as file, {SHARD_MAGIC}::int as magic, {SHARD_VERSION}::int as version,
+  n as n_tokens, {token_shards.HEADER_BYTES} + 2 * n as n_bytes, null::varchar as reason
+from files""",
     "token_shard_roundtrip": f"""
 with {OFFSETS}, {_TOKENS}, {_FILES} select shard as file, bos_at as pos, n from file_docs""",
     "token_shard_batches": f"""

@@ -6,10 +6,16 @@ order, is the order of the token stream, so both columns travel with every row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.fixed_values import MAX_SHARD, SHARD_NAME_FORMAT
+from corpusloom.staging import filesystem
 
 SPLITS = ("train", "val")
 
@@ -58,6 +64,46 @@ def read_split(corpus: DataFrame, split: str) -> DataFrame:
     return corpus.filter(is_last if split == "val" else ~is_last)
 
 
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Row groups of every Parquet file under ``path``: ``(file, row_group, first_row, n_rows)``.
+
+    The driver lists the files; tasks read the footers and nothing else.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path", "_metadata.file_path")
+    )
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for location, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, root = filesystem(location)
+                with system.open_input_file(root) as opened:
+                    footer = pq.read_metadata(opened)
+                rows = np.array([footer.row_group(i).num_rows for i in range(footer.num_row_groups)], np.int64)
+                yield pa.record_batch(
+                    [pa.array([file] * len(rows)), np.arange(len(rows)), np.cumsum(rows) - rows, rows],
+                    ["file", "row_group", "first_row", "n_rows"],
+                )
+
+    return files.mapInArrow(footers, "file string, row_group bigint, first_row bigint, n_rows bigint")
+
+
+def with_row_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add the real ``row_group`` of rows ``(file, row_index)``.
+
+    A file is one row of the joined side, with the first rows of its groups in order.
+    """
+    starts = groups.where("n_rows > 0").groupBy("file").agg(
+        F.array_sort(F.collect_list(F.struct("first_row", "row_group"))).alias("_starts")
+    )
+    passed = F.filter("_starts", lambda g: g["first_row"] <= F.col("row_index"))
+    return rows.join(starts, "file").withColumn("row_group", F.element_at(passed, -1)["row_group"]).drop("_starts")
+
+
 def row_group(rows_per_group: int) -> Column:
     """Ordinal of the row group in its file, for groups of a fixed number of rows."""
     return F.expr(f"row_index div {int(rows_per_group)}")

@@ -69,13 +69,13 @@ def _header(file) -> np.ndarray:
 
 def _fault(header: np.ndarray, size: int) -> str | None:
     if len(header) < SHARD_HEADER_INTS:
-        return "short header"
+        return "short_header"
     if header[0] != SHARD_MAGIC:
-        return "magic number mismatch"
+        return "bad_magic"
     if header[1] != SHARD_VERSION:
-        return "unsupported version"
+        return "bad_version"
     if size < HEADER_BYTES + 2 * int(header[2]):
-        return "fewer tokens than the header says"
+        return "missing_tokens"
     return None
 
 

@@ -1,5 +1,6 @@
 """Pre-tokens, training, encoding and decoding against independent statements of the rules."""
 
+import base64
 from collections import Counter
 
 import pytest
@@ -13,7 +14,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers, train
 from corpusloom.functions.fixed_values import SPECIAL_TOKENS, SPLIT_PATTERN
 from corpusloom.functions.text import byte_ids, pretokens
 from corpusloom.operators import bpe, codec
-from corpusloom.sources.vocab_store import load_tokenizer, save_tokenizer
+from corpusloom.sources.vocab_store import import_ranks, import_tokenizer_json, load_tokenizer, save_tokenizer
 
 HAND_MADE = [
     "",
@@ -191,6 +192,44 @@ def test_specials_first_equals_the_public_trainer(spark):
     assert all(r.ids == theirs.encode(r.text, add_special_tokens=False).ids for r in encoded)
 
 
+def test_imported_ranks_encode_like_their_library(spark, tmp_path):
+    vocab, _ = bpe.train(corpus(spark, TRAINING[2]), 256 + 9 + 25)
+    # Ids with gaps: only the order of the ranks matters.
+    ranks = {bytes(r.bytes): 3 * r.token_id for r in vocab.collect() if not r.is_special}
+    lines = [base64.b64encode(b) + b" %d" % i for b, i in ranks.items()]
+    (tmp_path / "t.tiktoken").write_bytes(b"\n".join(lines))
+    special = {"<|end|>": 1}
+    encoding = tiktoken.Encoding("t", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    handle = import_ranks(spark, str(tmp_path / "t.tiktoken"), special)
+    encoded = handle.encode(corpus(spark, MIXED), append="<|end|>")
+    for r in encoded.withColumn("back", handle.decode(F.col("ids"))).collect():
+        assert r.ids == [*encoding.encode_ordinary(r.text), 1] and r.back == r.text + "<|end|>"
+    with pytest.raises(ValueError):
+        import_ranks(spark, str(tmp_path / "t.tiktoken"), {"<|end|>": 3})
+
+
+def test_imported_json_encodes_like_its_library(spark, tmp_path):
+    pattern = r"\s?\w+|\s|[^\w\s]+"
+    theirs = Tokenizer(models.BPE())
+    split = pre_tokenizers.Split(Regex(pattern), "isolated", invert=False)
+    theirs.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    alphabet = pre_tokenizers.ByteLevel.alphabet()
+    trainer = trainers.BpeTrainer(vocab_size=290, show_progress=False, initial_alphabet=alphabet, special_tokens=["<|x|>"])
+    theirs.train_from_iterator(TRAINING[2], trainer)
+    theirs.save(str(tmp_path / "tokenizer.json"))
+    handle = import_tokenizer_json(spark, str(tmp_path / "tokenizer.json"))
+    save_tokenizer(handle.vocab, handle.merges, str(tmp_path / "t"), handle.layout, handle.pattern)
+    texts = ["lower  newest widest!!", "hugs, bun été 12", "low\tlowest\n\nnew", ""]
+    for each in (handle, load_tokenizer(spark, str(tmp_path / "t"))):
+        assert each.pattern == pattern
+        for r in each.encode(corpus(spark, texts)).collect():
+            assert r.ids == theirs.encode(r.text).ids
+    theirs.model = models.WordPiece({"a": 0}, unk_token="a")
+    theirs.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        import_tokenizer_json(spark, str(tmp_path / "other.json"))
+
+
 def test_bytes_and_nulls(spark):
     docs = corpus(spark, ["hé", None, ""])
     rows = docs.select(byte_ids(F.col("text")).alias("ids")).collect()
