@@ -220,3 +220,16 @@ def test_hash_words_by_content():
 
 def test_profiles_of_texts_without_letters_are_empty():
     assert not hyperdim.profiles(["12 !", ""], hyperdim.GramVectors()).any()
+
+
+def test_only_leaking_rows_go_whatever_their_ids(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = words(40)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [words(80) for _ in range(4)]
+    leaking = words(20) + " " + passage
+    rows = [(None, leaking), (None, clean[0]), (None, None), (5, leaking), (5, clean[1]), (5, clean[1]), (6, clean[2]), (7, clean[3])]
+    kept = corpus_pipeline.decontaminate(spark, _table(spark, [(i, t, "en", "a") for i, t in rows]), str(tmp_path)).collect()
+    wanted = [(i, t) for i, t in rows if t != leaking]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept])) == sorted(map(str, wanted))
