@@ -19,14 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import minhash
 from corpusloom.llm.components import components
 from corpusloom.staging import stage
 
 SHINGLE, RADIUS, TILE = 3, 2, 1024
 _SEED = 42
-# Near-duplicates at a similarity of 0.8 in five-word shingles: candidates lie within WIDE_RADIUS bits,
-# and sketches of SKETCH bytes must agree in LEAST_AGREED of their places.
-WIDE_RADIUS, WIDE_TILE, WIDE_SHINGLE, SKETCH, LEAST_AGREED = 11, 8192, 5, 64, 0.75
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -59,31 +57,6 @@ def simhash_of(text: Column, shingle: int = SHINGLE) -> Column:
     return of(F.coalesce(text, F.lit("")))
 
 
-def sketch(text: str, shingle: int = WIDE_SHINGLE, size: int = SKETCH) -> bytes:
-    """One byte for each of ``size`` classes of shingle hashes: of the smallest hash in it, 0 if none.
-
-    The share of equal bytes among classes that either text fills estimates the Jaccard similarity.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    if words:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = ([0, *ends.tolist()])[: max(1, len(words) - shingle + 1)]
-        stops = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], 0) for a, b in zip(starts, stops)], np.uint64)
-        np.minimum.at(out, (hashes & np.uint64(size - 1)).astype(np.int64), hashes)
-    kept = ((out >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return np.where(out == np.iinfo(np.uint64).max, 0, kept).astype(np.uint8).tobytes()
-
-
-def agreed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal places of pairs of sketches (rows) among those that either fills; two empty ones agree."""
-    filled = ((a | b) != 0).sum(axis=1)
-    return np.where(filled > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1), 1.0)
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each linked number below ``n`` that is not the smallest of its component, with that smallest one."""
     label = np.arange(n)
@@ -101,16 +74,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return child, label[child]
 
 
-def tile_links(values: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links of one pair of tiles (its distinct fingerprints in one array).
-
-    With ``sketches``, one row each, a pair within the radius is linked only if its sketches agree.
-    """
-    values, first = np.unique(values.astype(np.uint64), return_index=True)
+def tile_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links of one pair of tiles (its distinct fingerprints in one array)."""
+    values = np.unique(values.astype(np.uint64))
     counts = np.bitwise_count(values).astype(np.int16)
     order = np.argsort(counts, kind="stable")
     values, counts = values[order], counts[order]
-    own = None if sketches is None else sketches[first][order]
     left, right = [], []
     step = 512
     for i in range(0, len(values), step):
@@ -119,11 +88,6 @@ def tile_links(values: np.ndarray, radius: int, sketches: np.ndarray | None = No
                 break  # the counts are sorted: later tiles differ even more
             x, y = np.nonzero(np.bitwise_count(values[i : i + step, None] ^ values[None, j : j + step]) <= radius)
             x, y = x + i, y + j
-            if own is not None:
-                near = np.zeros(len(x), bool)
-                for k in range(0, len(x), 65536):
-                    near[k : k + 65536] = agreed(own[x[k : k + 65536]], own[y[k : k + 65536]]) >= LEAST_AGREED
-                x, y = x[near], y[near]
             apart = x != y
             # A tile gives its own forest, so what is kept stays small.
             a, b = _forest(len(values), x[apart], y[apart])
@@ -158,10 +122,8 @@ def in_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tab
 def near_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``(a, b)`` links whose components are those of all pairs within ``radius`` bits.
 
-    ``fingerprints`` has a column ``fp`` (long) of distinct values, and maybe ``sketch``: then only
-    pairs whose sketches agree are linked.
+    ``fingerprints`` has a column ``fp`` (long) of distinct values.
     """
-    carried = [c for c in ("fp", "sketch") if c in fingerprints.columns]
     bands = radius + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
 
@@ -171,7 +133,7 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE)
         return F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("bigint"))
 
     keyed = fingerprints.select(
-        *carried,
+        "fp",
         F.bit_count("fp").cast("int").alias("pop"),
         F.posexplode(F.array(*[slice_of(i) for i in range(bands)])).alias("band", "slice"),
     )
@@ -180,7 +142,7 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE)
 
     # Small groups are one tile.  Larger ones are split by population count, then by hash.
     small = met.where(F.col("n") <= tile).select(
-        "band", "slice", F.lit(0).alias("p1"), F.lit(0).alias("s1"), F.lit(0).alias("p2"), F.lit(0).alias("s2"), *carried
+        "band", "slice", F.lit(0).alias("p1"), F.lit(0).alias("s1"), F.lit(0).alias("p2"), F.lit(0).alias("s2"), "fp"
     )
     large = met.where(F.col("n") > tile)
     counts = large.groupBy("band", "slice", "pop").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
@@ -195,15 +157,12 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     first = placed.withColumnsRenamed({"pop": "p1", "sub": "s1"}).join(pairs, ["band", "slice", "p1", "s1"])
     apart = pairs.where("p1 <> p2 or s1 <> s2")  # a tile beside itself came with ``first``
     second = placed.withColumnsRenamed({"pop": "p2", "sub": "s2"}).join(apart, ["band", "slice", "p2", "s2"])
-    rows = small.unionByName(first.select(*key, *carried)).unionByName(second.select(*key, *carried))
+    rows = small.unionByName(first.select(*key, "fp")).unionByName(second.select(*key, "fp"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, held = [], [], 0
         for group in in_groups(batches, len(key)):
-            own = None
-            if len(carried) > 1:
-                own = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
-            x, y = tile_links(group.column("fp").to_numpy().view(np.uint64), radius, own)
+            x, y = tile_links(group.column("fp").to_numpy().view(np.uint64), radius)
             a.append(x)
             b.append(y)
             held += len(x)
@@ -239,31 +198,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Groups are the components of documents whose fingerprints are within ``WIDE_RADIUS`` bits and
-    whose five-word shingles are alike at 0.8, as estimated from sketches.  Documents with equal
-    fingerprints are one group.  Null texts are empty, and empty texts are one group.  A null id
-    stays only if its group has no other; of equal rows one stays.  All columns are kept.
+    Groups are the components of documents whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, found and checked as ``minhash`` describes.  Texts with equal words are one node.  Null texts
+    are empty, and empty texts are one group.  A null id stays only if its group has no other; of
+    equal rows one stays.  All columns are kept.
     """
-
-    @F.arrow_udf("struct<fp:bigint,sketch:binary>")
-    def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            bodies = [t.as_py() or "" for t in texts]
-            prints = np.array([simhash(t) for t in bodies], np.uint64)
-            yield pa.StructArray.from_arrays(
-                [pa.array(prints.view(np.int64)), pa.array([sketch(t) for t in bodies], pa.binary())], ["fp", "sketch"]
-            )
-
     keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = stage(keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("who"), marks(body).alias("m")), "marks")
+    marked = stage(
+        keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("who"), minhash.marks(body).alias("m")), "marks"
+    )
+    # Equal nodes have equal keys.
     smallest = stage(
-        marked.groupBy("m.fp").agg(F.min("who").alias("least"), F.min("m.sketch").alias("sketch")), "fingerprints"
+        marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys")), "nodes"
     )
-    root = components(near_links(smallest.select("fp", "sketch"), WIDE_RADIUS, WIDE_TILE))
-    grouped = smallest.select("fp", "least").join(root.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    met = minhash.candidates(smallest.select("node", "keys"))
+    asked = smallest.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("least._key").alias("_key"))
+    texts = keyed.select("_key", body.alias("_body")).join(stage(asked, "asked"), "_key").dropDuplicates(["node"])
+    sets = stage(texts.select("node", minhash.sets_of(F.col("_body")).alias("set")), "sets")
+    root = minhash.alike_components(met, sets)
+    grouped = smallest.select("node", "least").join(root, "node", "left")
     kept = stage(
-        grouped.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("who")).select(F.col("who._key").alias("_key")).distinct(), "kept"
+        grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("who")).select(F.col("who._key").alias("_key")).distinct(), "kept"
     )
     repeated = marked.select(F.col("who._key").alias("_key")).join(kept, "_key", "left_semi").groupBy("_key").count().where("count > 1")
     rows = keyed.join(kept, "_key", "left_semi")

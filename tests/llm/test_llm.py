@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import arrays, chaining, components, feistel, hyperdim, latent, mixing, shards, simhash, syncmers
+from corpusloom.llm import arrays, chaining, components, feistel, hyperdim, latent, minhash, mixing, shards, simhash, syncmers
 from corpusloom.llm.queries import QUERIES
 from tests.conftest import SF_DIR
 
@@ -233,3 +233,41 @@ def test_only_leaking_rows_go_whatever_their_ids(spark, tmp_path):
     kept = corpus_pipeline.decontaminate(spark, _table(spark, [(i, t, "en", "a") for i, t in rows]), str(tmp_path)).collect()
     wanted = [(i, t) for i, t in rows if t != leaking]
     assert sorted(map(str, [(r.doc_id, r.text) for r in kept])) == sorted(map(str, wanted))
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, pairs = [], []
+    for pair in range(300):
+        a = words(int(rng.integers(120, 400)))
+        b, wanted = list(a), rng.uniform(0.7, 0.9)
+        changed = max(1, round(len(a) * (1 - wanted) / (1 + wanted)) - 4)
+        if pair % 2:
+            at = int(rng.integers(0, len(a) - changed))
+            b[at : at + changed] = words(changed)
+        else:
+            for at in rng.integers(0, len(a), max(1, changed // 5)):
+                b[at] = words(1)[0]
+        pairs.append((" ".join(a), " ".join(b)))
+        rows += [(2 * pair, pairs[-1][0], "en", "a"), (2 * pair + 1, pairs[-1][1], "en", "a")]
+    likeness = [_jaccard(a, b) for a, b in pairs]
+    assert min(sum(x >= 0.8 for x in likeness), sum(x < 0.8 for x in likeness)) > 60
+    kept = {r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()}
+    wanted = {2 * i for i in range(300)} | {2 * i + 1 for i, x in enumerate(likeness) if x < 0.8}
+    assert kept == wanted
+
+
+def test_components_do_not_depend_on_the_smallest_of_a_key(spark):
+    sets = {1: range(0, 100), 2: range(12, 112), 3: range(24, 124), 4: range(18, 118), 5: range(500, 600), 6: range(505, 605), 7: range(900, 910)}
+    met = spark.createDataFrame([(9, n, 1, 7) for n in sets], "key long, node long, head long, n long")
+    stored = spark.createDataFrame([(n, bytearray(np.array(list(x), np.uint64).tobytes())) for n, x in sets.items()], "node long, set binary")
+    alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) >= 0.8
+    assert not alike(sets[1], sets[2]) and alike(sets[2], sets[4]) and alike(sets[3], sets[4])
+    got = {r.node: r.root for r in minhash.alike_components(met, stored).collect()}
+    assert got == {3: 2, 4: 2, 6: 5}
