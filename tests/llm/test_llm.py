@@ -271,3 +271,11 @@ def test_components_do_not_depend_on_the_smallest_of_a_key(spark):
     assert not alike(sets[1], sets[2]) and alike(sets[2], sets[4]) and alike(sets[3], sets[4])
     got = {r.node: r.root for r in minhash.alike_components(met, stored).collect()}
     assert got == {3: 2, 4: 2, 6: 5}
+
+
+def test_texts_under_one_repeated_run_stay_apart(spark):
+    rng = np.random.default_rng(8)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(6)]
+    rows = [(i, "0 " * 300 + t, "en", "a") for i, t in enumerate(own)] + [(9, "0  " * 300 + own[0].upper(), "en", "a")]
+    assert len({simhash.simhash(t) for _, t, *_ in rows}) == 1
+    assert sorted(r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()) == list(range(6))
