@@ -26,16 +26,30 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+# Digits of the longest run that is searched for cards as a whole.
+RUN = 120
 # Alternatives in order of preference; a digit or letter may not continue on either side.
 _EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
+# Lengths of the registered countries: what follows such an account is no part of it.  Others take the general form.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BF BJ CF CG CI CM DJ DZ FR GR IT KM MC MG ML MR NE SM SN TD TG", 28: "AL AZ BY CV CY DO GT GW HN HU LB MA MZ NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-_CARD = r"\d(?:[ -]?\d){12,18}"
+_NATIONAL = "|".join(
+    rf"(?:{names.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_LENGTHS.items()
+)
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+# A run of digits may hold more than a card; it ends before a blank that opens one of the forms above.
+_CARD = rf"\d(?:(?: (?!(?:{_DATE}|{_SSN}|{_IPV4}|{_PHONE})(?![A-Za-z0-9]))|-)?\d){{12,{RUN - 1}}}"
 PATTERN = (
-    rf"(?<![A-Za-z0-9._%+-]){_EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_IBAN}(?![A-Za-z0-9])"
+    rf"(?<![A-Za-z0-9._%+-]){_EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{_NATIONAL})(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_IBAN}(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9.+-])(?:{_DATE})(?![A-Za-z0-9]|[./-]\d)|(?<![A-Za-z0-9.+-]){_SSN}(?![A-Za-z0-9]|-\d)"
     rf"|(?<![A-Za-z0-9.]){_IPV4}(?![A-Za-z0-9]|\.\d)|(?<![A-Za-z0-9+])(?:{_PHONE})(?![A-Za-z0-9]|[.-]\d)"
     rf"|(?<![A-Za-z0-9]){_CARD}(?![A-Za-z0-9])"
@@ -171,7 +185,13 @@ def _iban(v: Column, key: str) -> Column:
     return _let(F.replace(v, F.lit(" "), F.lit("")), of)
 
 
+def _valid_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$")
+
+
 def _card(v: Column, key: str) -> Column:
+    """A valid card number with its digits permuted."""
+
     def of(digits: Column) -> Column:
         body = permute_characters(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
 
@@ -179,12 +199,77 @@ def _card(v: Column, key: str) -> Column:
             check = F.pmod(F.lit(0) - luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
             return _refill(v, F.concat(new, check.cast("string")))
 
-        valid = (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$")
-        return F.when(valid, _let(body, checked)).otherwise(v)
+        return F.when(_valid_card(digits), _let(body, checked)).otherwise(v)
 
     return _let(_digits(v), of)
 
 
+# Groups of digits that a part of a run must have to count as a card of its own; the whole run may have any.
+_GROUPED = r"^\d{3,}(?:[ -]\d{3,})*(?:[ -]\d{1,2})?$"
+
+
+def _cards(v: Column, key: str) -> Column:
+    """A run of digits: the whole of it if it is a card, else the cards that start and end with groups of it.
+
+    From left to right the longest valid part from each group on is taken; a part that starts with the
+    run may have groups of any length.
+    """
+    groups = F.regexp_extract_all(v, F.lit(r"\d+[ -]?"), F.lit(0))
+
+    def cut(parts: Column) -> Column:
+        def part(start: Column, count: Column) -> Column:
+            return F.regexp_replace(F.array_join(F.slice(parts, start, count), ""), "[ -]$", "")
+
+        def step(acc: Column, at: Column) -> Column:
+            def longest(counts: Column) -> Column:
+                fits = F.filter(counts, lambda n: _let(part(at, n), lambda p: (F.length(_digits(p)).between(13, 19)) & ((at == 1) | p.rlike(_GROUPED)) & _valid_card(_digits(p))))
+                return F.coalesce(F.array_max(fits), F.lit(0))
+
+            most = F.least(F.lit(19), F.size(parts) - at + 1)
+
+            def taken(n: Column) -> Column:
+                text = F.when(n > 0, F.concat(_card(part(at, n), key), F.regexp_extract(F.element_at(parts, at + n - 1), "[ -]?$", 0)))
+                return F.struct(
+                    F.concat(acc["s"], text.otherwise(F.element_at(parts, at))).alias("s"), (at + F.greatest(n, F.lit(1))).alias("next")
+                )
+
+            return F.when(at < acc["next"], acc).otherwise(_let(longest(F.sequence(F.lit(1), most)), taken))
+
+        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), start, step, lambda acc: acc["s"])
+
+    several = v.rlike("[ -]")
+    return F.when(_valid_card(_digits(v)), _card(v, key)).when(several & (F.length(_digits(v)) > 13), _let(groups, cut)).otherwise(v)
+
+
+def _ibans(v: Column, key: str) -> Column:
+    """The longest valid account that starts with a group of ``v``, from the left; what stands around it stays."""
+    groups = F.regexp_extract_all(v, F.lit("[^ ]+ ?"), F.lit(0))
+
+    def cut(parts: Column) -> Column:
+        def piece(start: Column, count: Column) -> Column:
+            return F.array_join(F.slice(parts, start, count), "")
+
+        def valid(p: Column) -> Column:
+            plain = lambda q: q.rlike(f"^{_IBAN}$") & F.length(F.replace(q, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(F.replace(q, F.lit(" "), F.lit(""))) == 1)
+            return _let(F.rtrim(p), plain)
+
+        size = F.size(parts)
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda at: F.transform(F.sequence(size - at + 1, F.lit(1)), lambda n: F.struct(at.alias("at"), n.alias("n")))))
+
+        def written(x: Column) -> Column:
+            body = piece(x["at"], x["n"])
+            bare = F.rtrim(body)
+            tail = F.substring(body, F.length(bare) + 1, F.lit(1))
+            new = F.concat(piece(F.lit(1), x["at"] - 1), _iban(bare, key), tail, piece(x["at"] + x["n"], size))
+            return F.when(x.isNotNull(), new).otherwise(v)
+
+        return _let(F.get(F.filter(spans, lambda x: valid(piece(x["at"], x["n"]))), F.lit(0)), written)
+
+    whole = F.replace(v, F.lit(" "), F.lit(""))
+    return F.when(F.length(whole).between(15, 34) & (mod97(whole) == 1), _iban(v, key)).when(v.contains(" "), _let(groups, cut)).otherwise(v)
+
+
 def _ssn(v: Column, key: str) -> Column:
     area, group, serial = (F.split_part(v, F.lit("-"), F.lit(i)).cast("bigint") for i in (1, 2, 3))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -248,12 +333,12 @@ def _date(v: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one match of ``PATTERN``; a value that fails its validation stays."""
+    """The pseudonym of one match of ``PATTERN``; a value that fails its validation stays, but for valid cards and accounts in it."""
     whole = lambda p: f"^(?:{p})$"
     found = F.when(value.contains("@"), _email(value, key))
-    for form, use in ((_IBAN, _iban), (_DATE, _date), (_SSN, _ssn), (_IPV4, _ip), (_PHONE, _phone)):
+    for form, use in ((_IBAN, _ibans), (_DATE, _date), (_SSN, _ssn), (_IPV4, _ip), (_PHONE, _phone)):
         found = found.when(value.rlike(whole(form)), use(value, key))
-    return found.otherwise(_card(value, key))
+    return found.otherwise(_cards(value, key))
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -279,3 +279,22 @@ def test_texts_under_one_repeated_run_stay_apart(spark):
     rows = [(i, "0 " * 300 + t, "en", "a") for i, t in enumerate(own)] + [(9, "0  " * 300 + own[0].upper(), "en", "a")]
     assert len({simhash.simhash(t) for _, t, *_ in rows}) == 1
     assert sorted(r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()) == list(range(6))
+
+
+def test_cards_and_accounts_beside_other_digits_and_words(spark):
+    card, iban, date = "4111 1111 1111 1111", "BE68 5390 0754 7034", "1985-03-12"
+    forms = [
+        f"{card} 123", f"{card} 12/25", f"2 {card}", f"12345 {card}", f"{card} 5500 0000 0000 0004", f"{card} 12/25/1985",
+        f"{card} 10.0.0.1", "4111-1111-1111-1111 123", "3782 822463 10005 1234", f"{iban} BIC", f"{iban} BANK CODE", f"{iban} {card}",
+        f"{iban} GB82 WEST 1234 5698 7654 32", f"AB13 {iban}", f"{card} {date}", f"{card} 555-123-4567",
+    ]
+    secret = [card, "4111-1111-1111-1111", "3782 822463 10005", "5500 0000 0000 0004", iban, "GB82 WEST 1234 5698 7654 32", "12/25/1985", "10.0.0.1", date, "555-123-4567"]
+    kept = ["4111 1111 1111 1112 123", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2 3 4", "BE68 5390 0754 7035 BIC"]
+    rows = spark.createDataFrame(list(enumerate(forms + kept + [card, iban])), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in feistel.pseudonymise(rows, "k").collect()}
+    new_card, new_iban = got[len(forms + kept)], got[len(forms + kept) + 1]
+    for i, text in enumerate(forms):
+        assert not [x for x in secret if x in got[i]], (text, got[i])
+        assert (card not in text or new_card in got[i]) and (iban not in text or new_iban in got[i]), (text, got[i])
+    assert got[0] == new_card + " 123" and got[1] == new_card + " 12/25" and got[2] == "2 " + new_card and got[9] == new_iban + " BIC"
+    assert [got[len(forms) + i] for i in range(len(kept))] == kept
