@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import attention, chaining, feistel, hyperdim, latent, mixing, shards, simhash, syncmers, token_counts
+from corpusloom.llm import (
+    attention, chaining, feistel, hyperdim, latent, mixing, prefix_trie, shards, simhash, syncmers, token_counts,
+)
 
 # Key of the registered query; real users pass a secret of their own.
 PSEUDONYM_KEY = "registered query"
@@ -15,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def _fold(n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -65,6 +71,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.repeated_passages(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(_conversations(spark, sf_dir))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +89,7 @@ QUERIES = {
         op8_latent_decontamination,
         op9_pivotal_mixing,
         op10_repeated_passages,
+        op11_prefix_trie,
     )
 }
 ORACLE: dict[str, str] = {}
