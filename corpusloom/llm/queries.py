@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    attention, chaining, feistel, hyperdim, latent, mixing, prefix_trie, shards, simhash, syncmers, token_counts,
+    attention, chaining, chat_log, feistel, hyperdim, latent, mixing, prefix_trie, repair, shards, simhash, syncmers,
+    token_counts, turns,
 )
 
 # Key of the registered query; real users pass a secret of their own.
@@ -72,8 +73,19 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = prefix_trie.numbered_turns(_conversations(spark, sf_dir))
-    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+    numbered = prefix_trie.numbered_turns(_conversations(spark, sf_dir))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(numbered))
+
+
+def op12_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations and one with control strings, written as event logs, folded, rendered and read back."""
+    chats = turns.plain(_conversations(spark, sf_dir)).unionByName(chat_log.sample_injection(spark))
+    messages = chat_log.fold_events(chat_log.log_of(chats))
+    return chat_log.read_back(chat_log.render(messages))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(_conversations(spark, sf_dir))
 
 
 QUERIES = {
@@ -90,6 +102,8 @@ QUERIES = {
         op9_pivotal_mixing,
         op10_repeated_passages,
         op11_prefix_trie,
+        op12_event_sourced_chats,
+        op13_structure_repair,
     )
 }
 ORACLE: dict[str, str] = {}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.staging import stage
 
-# Spaces that separate words in the contracts: blank and U+0009 to U+000D.
-NOT_SPACE = r"[^\x20\x09-\x0D]"
+# Characters that are no part of a word: blank and U+0009 to U+000D.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def in_order(rows: DataFrame, keys: list[Column], label: str, name: str = "pos") -> DataFrame:
