@@ -2,14 +2,25 @@
 
 A word is a string with one character per symbol: 256 characters stand for the bytes and each
 merge adds the next code point.  Merging a pair everywhere is then the built-in
-``replace`` (leftmost first, no overlaps), which stays inside code generation.  Words shrink as
-a column expression, pair counts are one map-side-combined aggregation per round, and only the
-top pairs of a round (a constant number) and the merges themselves (bounded by the 16-bit token
-id) ever reach the driver.
+``replace`` (leftmost first, no overlaps), which stays inside code generation.
+
+Pair counts are kept, not counted again.  Training runs in epochs.  At the start of an epoch the words are
+rewritten, all pairs are counted, and an inverted index from pair to words is written, sorted by
+pair.  A round merges several pairs: it reads the index for them alone, brings the words found up to
+date by the merges since the epoch began, and adds up how the counts change.  Words without the pairs
+are not read, so rounds get cheaper as pairs get rarer.
+
+Two facts keep the index and the driver's table small.  Merges only lengthen symbols, so a word that
+holds a pair now held, at the epoch's start, the pair of symbols at its seam: the index is never
+updated.  And a pair is most frequent when its younger symbol is new; from then on its count only
+falls.  So the most frequent pairs of the epoch's start (a constant number) and pairs of new symbols are all that
+can come to the top before the least frequent of them is reached, which starts the next epoch.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,94 +84,154 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def _top_pairs(words: DataFrame, how_many: int) -> list[tuple[int, int, int]]:
-    """The most frequent pairs, ties by left then right symbol (the order of UTF-32 bytes)."""
-    top = pair_counts(words).orderBy(F.desc("n"), "pair").limit(how_many).collect()
-    return [
-        (_symbol_of(int.from_bytes(r["pair"][:4])), _symbol_of(int.from_bytes(r["pair"][4:])), r["n"])
-        for r in top
-    ]
+def _pair_of(pair: bytes) -> tuple[int, int]:
+    return _symbol_of(int.from_bytes(pair[:4])), _symbol_of(int.from_bytes(pair[4:]))
+
 
+def _pair_bytes(left: int, right: int) -> bytes:
+    return (symbol_char(left) + symbol_char(right)).encode("utf-32-be")
 
-def exact_batch(ranked: list[tuple[int, int, int]], complete: bool) -> list[tuple[int, int]]:
+
+def exact_batch(ranked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """The longest prefix of ``ranked`` that one-at-a-time merging would also take, in order.
 
-    Merging (a, b) changes only pairs that hold a or b, and a pair it creates is no more frequent
-    than a pair that shares a symbol with (a, b).  So pairs without a common symbol may be merged
-    together while they are strictly more frequent than the first pair left out.  (a, a) breeds
-    pairs bounded only by itself and therefore ends a batch.
+    Merging (a, b) changes only pairs that end in a or begin with b.  A pair it creates is no more
+    frequent than one of these; at equal counts its left symbol is the same or a new one and its right symbol is
+    new, so it ranks behind every pair that ranks before the old one.  Pairs may therefore be merged together until the first
+    one that ends in the left, or begins with the right, symbol of a pair taken.  (a, a) breeds
+    pairs bounded only by itself and ends a batch.
     """
-    used: set[int] = set()
-    taken = 0
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    batch = []
     for left, right, _ in ranked:
-        if left in used or right in used:
+        if left in rights or right in lefts:
             break
-        used |= {left, right}
-        taken += 1
+        batch.append((left, right))
         if left == right:
             break
-    if taken < len(ranked):
-        bound = ranked[taken][2]
-    else:
-        bound = 0 if complete else ranked[-1][2]
-    return [(a, b) for k, (a, b, n) in enumerate(ranked[:taken]) if k == 0 or n > bound]
+        lefts.add(left)
+        rights.add(right)
+    return batch
+
+
+# Pairs the driver holds; an epoch ends when the least frequent of those counted at its start is reached.
+HELD_PAIRS = 1 << 16
+# Merges of the first epoch; each epoch may have twice as many as the one before, up to the last value.
+FIRST_EPOCH, LONGEST_EPOCH = 64, 2048
+# Words with more symbols are not in the index, where a word stands once for each of its pairs; rounds pass over them.
+LONGEST_INDEXED = 256
+
+
+def pair_index(words: DataFrame) -> DataFrame:
+    """``(pair BINARY, word, n)``: a row for each word and each different pair in it, sorted by pair.
+
+    Range partitions by pair and word split a pair that many words share.
+    """
+    wide = words.where(F.length("word") <= LONGEST_INDEXED).select("word", "n", F.encode("word", "UTF-32").alias("wide"))
+    spots = F.expr("sequence(1, length(wide) - 7, 4)")
+    pairs = F.array_distinct(F.transform(spots, lambda at: F.substring(F.col("wide"), at, F.lit(8))))
+    rows = wide.where("length(wide) > 4").select(F.explode(pairs).alias("pair"), "word", "n")
+    return rows.repartitionByRange("pair", "word").sortWithinPartitions("pair")
+
+
+def _words_with(index: DataFrame, seams: list[bytes]) -> DataFrame:
+    """Words ``(word, n)`` of the index that hold one of the pairs, each once.
+
+    The equality tests reach the Parquet reader, which skips pages by the pairs they hold.  A word
+    found by several pairs counts at the first of them it holds.
+    """
+    wanted = [F.lit(bytearray(seam)) for seam in seams]
+    hit = F.col("pair") == wanted[0]
+    for other in wanted[1:]:
+        hit = hit | (F.col("pair") == other)
+    texts = F.split(F.lit(",".join(seam.decode("utf-32-be") for seam in seams)), ",")
+    first = F.element_at(F.filter(texts, lambda seam: F.contains(F.col("word"), seam)), 1)
+    return index.where(hit & (F.encode(first, "UTF-32") == F.col("pair"))).select("word", "n")
+
+
+def _count_changes(words: DataFrame, done: list[tuple[int, int, int]], batch: list[tuple[int, int, int]]) -> DataFrame:
+    """``(pair, n)``: how ``batch`` changes pair counts in words that ``done`` has yet to be applied to."""
+    before = words.select(_merged(F.col("word"), done).alias("before"), "n")
+    both = before.select("before", _merged(F.col("before"), batch).alias("after"), "n").where("before <> after")
+    signed = F.array(F.struct(F.col("before").alias("word"), (-F.col("n")).alias("n")), F.struct(F.col("after").alias("word"), "n"))
+    return pair_counts(both.select(F.explode(signed).alias("w")).select("w.word", "w.n")).where("n <> 0")
+
+
+def _seam(left: int, right: int, base: int, merges: list[tuple[int, int]]) -> tuple[int, int]:
+    """The symbols below ``base`` on either side of where ``left`` and ``right`` meet."""
+    while left >= base:
+        left = merges[left - BYTES][1]
+    while right >= base:
+        right = merges[right - BYTES][0]
+    return left, right
+
+
+def _merged(word: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """``word`` after some more merges, in order.
+
+    The merges are one constant that a fold runs through: the plan, and so its generated code, is the
+    same in every round.
+    """
+    if not merges:
+        return word
+    steps = F.split(F.lit(",".join("".join(map(symbol_char, m)) for m in merges)), ",")
+    return F.aggregate(steps, word, lambda w, m: F.replace(w, F.substring(m, 1, 2), F.substring(m, 3, 1)))
 
 
 def learn_merges(
-    histogram: DataFrame,
-    n_merges: int,
-    *,
-    layout: str = "rank",
-    look_at: int = 1024,
-    merges_per_rewrite: int = 24,
+    histogram: DataFrame, n_merges: int, *, layout: str = "rank", look_at: int = 1024, held_pairs: int = HELD_PAIRS
 ) -> list[tuple[int, int]]:
     """``n_merges`` symbol pairs in merge order (fewer when no pair is left).
 
-    Words are a staged table.  Between rewrites the words of the latest round are cached, so a
-    round applies its own merges only; a lost cache is computed again from the table.  Two table
-    slots take turns, so old versions do not pile up.
+    The most frequent pair is merged first, ties by left and then right symbol.  Words and index are
+    tables in the shared folder; two slots of each take turns, so old versions do not pile up.
     """
     spark = histogram.sparkSession
     first = histogram.select(_initial_symbols(F.col("piece"), layout).alias("word"), F.col("n"))
-    slots = [fresh_path(spark, "words"), fresh_path(spark, "words")]
-    words = stage(spread(first.filter(F.length("word") > 1)), "words", slots[0])
+    slots = [[fresh_path(spark, label) for _ in range(2)] for label in ("words", "index")]
+    words = stage(spread(first.filter(F.length("word") > 1)), "words", slots[0][0])
     merges: list[tuple[int, int]] = []
-    cached: list[DataFrame] = []
-    since_rewrite = writes = 0
-    while len(merges) < n_merges:
-        ranked = _top_pairs(words, look_at)
-        for old in cached[:-1]:
-            old.unpersist()
-        cached = cached[-1:]
-        if not ranked:
-            break
-        batch = exact_batch(ranked, complete=len(ranked) < look_at)[: n_merges - len(merges)]
-        numbered = [(left, right, BYTES + len(merges) + k) for k, (left, right) in enumerate(batch)]
-        merges += batch
-        since_rewrite += len(batch)
-        words = _apply(words, numbered)
-        if since_rewrite >= merges_per_rewrite and len(merges) < n_merges:
-            writes += 1
-            words = stage(words.filter(F.length("word") > 1), "words", slots[writes % 2])
-            since_rewrite = 0
-        elif len(merges) < n_merges:
-            cached.append(words.persist())
-    for old in cached:
-        old.unpersist()
-    return merges
-
-
-def _apply(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """Words after some more merges, in order.
-
-    The merges are one constant array that a fold runs through: the plan, and so its generated
-    code, is the same in every round.
-    """
-    steps = F.split(F.lit(",".join("".join(map(symbol_char, m)) for m in merges)), ",")
-    merged = F.aggregate(
-        steps, F.col("word"), lambda word, m: F.replace(word, F.substring(m, 1, 2), F.substring(m, 3, 1))
-    )
-    return words.select(merged.alias("word"), "n")
+    epoch_size, epochs = FIRST_EPOCH, 0
+    while True:
+        held = pair_counts(words).orderBy(F.desc("n"), "pair").limit(held_pairs).collect()
+        counts = {_pair_of(r["pair"]): r["n"] for r in held}
+        if not counts:
+            return merges
+        # Pairs that rank behind the last one held are unknown; without such pairs nothing is.
+        floor = (-held[-1]["n"], _pair_of(held[-1]["pair"])) if len(held) == held_pairs else (0, ())
+        index = stage(pair_index(words), "index", slots[1][epochs % 2])
+        long = words.where(F.length("word") > LONGEST_INDEXED)
+        has_long = not long.isEmpty()
+        base, done = BYTES + len(merges), []
+        while len(merges) < n_merges and len(done) < epoch_size:
+            top = heapq.nsmallest(look_at, ((-n, pair) for pair, n in counts.items()))
+            ranked = [(*pair, -n) for n, pair in top if (n, pair) <= floor]
+            batch = exact_batch(ranked)[: n_merges - len(merges)]
+            if not batch:
+                break
+            numbered = [(left, right, BYTES + len(merges) + k) for k, (left, right) in enumerate(batch)]
+            seams = sorted({_pair_bytes(*_seam(left, right, base, merges)) for left, right in batch})
+            touched = _words_with(index, seams)
+            changes = _count_changes(touched.unionByName(long) if has_long else touched, done, numbered)
+            merges += batch
+            done += numbered
+            if len(merges) == n_merges:
+                return merges
+            # A gain belongs to a pair with a new symbol; one that ranks behind the floor is not needed.  Either
+            # kind has at most a few pairs for each symbol and merge.
+            for r in changes.where((F.col("n") < 0) | (F.col("n") >= -floor[0])).collect():
+                pair = _pair_of(r["pair"])
+                if pair in counts or r["n"] > 0:
+                    counts[pair] = counts.get(pair, 0) + r["n"]
+                    if counts[pair] <= 0:
+                        del counts[pair]
+        if len(merges) >= n_merges:
+            return merges
+        epochs += 1
+        epoch_size = min(2 * epoch_size, LONGEST_EPOCH)
+        merged = words.select(_merged(F.col("word"), done).alias("word"), "n")
+        words = stage(merged.filter(F.length("word") > 1), "words", slots[0][epochs % 2])
 
 
 def train(

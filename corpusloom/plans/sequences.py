@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.fixed_values import SHARD_MAGIC, SHARD_VERSION
 from corpusloom.functions.text import byte_ids, joined
-from corpusloom.operators import packing, sequences
+from corpusloom.operators import packing, runs, sequences
 from corpusloom.operators.codec import with_ends
 from corpusloom.plans.oracle_parts import OFFSETS, byte_list
 from corpusloom.plans.tables import BOS, byte_offsets, documents
@@ -56,9 +56,9 @@ def multi_epoch_stream(spark, sf_dir):
 
 
 def stream_batches(spark, sf_dir):
-    docs = stage(_token_docs(spark, sf_dir), "encoded")
-    stream = sequences.token_offsets(docs)
-    rows = sequences.stream_batches(stream, B, T, total=sequences.total_tokens(docs))
+    """Rows are cut where the documents lie; see ``operators/runs.py``."""
+    placed = runs.in_runs(documents(spark, sf_dir), lambda text: with_ends(byte_ids(text), prepend=BOS))
+    rows = runs.cut_runs(placed, B, T)
     return _shown(rows, "batch_id", "row_in_batch")
 
 

@@ -15,6 +15,7 @@ from corpusloom.functions.fixed_values import SPECIAL_TOKENS, SPLIT_PATTERN
 from corpusloom.functions.text import byte_ids, pretokens
 from corpusloom.operators import bpe, codec
 from corpusloom.sources.vocab_store import import_ranks, import_tokenizer_json, load_tokenizer, save_tokenizer
+from tests.conftest import SF_DIR
 
 HAND_MADE = [
     "",
@@ -108,11 +109,23 @@ def test_merges_equal_one_at_a_time(spark, texts, layout):
     assert learned(spark, texts, 15, layout) == expected
 
 
+@pytest.mark.parametrize("held_pairs, longest", [(40, 256), (1 << 16, 8)])
+def test_epochs_refills_and_long_words_change_nothing(spark, monkeypatch, held_pairs, longest):
+    """Few pairs held, short epochs and words outside the index, on the corpus of the smallest scale."""
+    monkeypatch.setattr(bpe, "FIRST_EPOCH", 30)
+    monkeypatch.setattr(bpe, "LONGEST_EPOCH", 60)
+    monkeypatch.setattr(bpe, "LONGEST_INDEXED", longest)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 30")
+    histogram = bpe.pretoken_histogram(docs.select("text"))
+    expected = one_at_a_time({r.piece: r.n for r in histogram.collect()}, 150, range(256))
+    assert bpe.learn_merges(histogram, 150, held_pairs=held_pairs) == expected
+
+
 def test_merges_end_when_no_pair_is_left(spark):
     assert learned(spark, ["ab ab"], 50) == one_at_a_time(words_of(["ab ab"]), 50, range(256))
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=12), st.integers(2, 6))
 def test_batches_are_exact(words, look_at):
     """The batching rule alone, on small corpora where ties and repeats are common."""
@@ -128,7 +141,7 @@ def test_batches_are_exact(words, look_at):
         ranked = sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda p: (-p[2], p[0], p[1]))
         if not ranked:
             break
-        for a, b in bpe.exact_batch(ranked[:look_at], len(ranked) <= look_at - 1)[: 12 - len(merges)]:
+        for a, b in bpe.exact_batch(ranked[:look_at])[: 12 - len(merges)]:
             new, after = 256 + len(merges), Counter()
             for w, n in state.items():
                 out, i = [], 0
