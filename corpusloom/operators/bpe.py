@@ -1,8 +1,7 @@
 """Learning byte-level BPE merges from a corpus.
 
 A word is a string with one character per symbol: 256 characters stand for the bytes and each
-merge adds the next code point.  Merging a pair everywhere is then the built-in
-``replace`` (leftmost first, no overlaps), which stays inside code generation.
+merge adds the next code point.
 
 Pair counts are kept, not counted again.  Training runs in epochs.  At the start of an epoch the words are
 rewritten, all pairs are counted, and an inverted index from pair to words is written, sorted by
@@ -20,12 +19,16 @@ can come to the top before the least frequent of them is reached, which starts t
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from operator import add
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.fixed_values import SPECIAL_TOKENS, SPLIT_PATTERN
 from corpusloom.functions.text import byte_chars, pretokens
+from corpusloom.operators.codec import merge_piece
 from corpusloom.staging import fresh_path, spread, stage
 
 BYTES = 256
@@ -88,10 +91,6 @@ def _pair_of(pair: bytes) -> tuple[int, int]:
     return _symbol_of(int.from_bytes(pair[:4])), _symbol_of(int.from_bytes(pair[4:]))
 
 
-def _pair_bytes(left: int, right: int) -> bytes:
-    return (symbol_char(left) + symbol_char(right)).encode("utf-32-be")
-
-
 def exact_batch(ranked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """The longest prefix of ``ranked`` that one-at-a-time merging would also take, in order.
 
@@ -119,43 +118,105 @@ def exact_batch(ranked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 HELD_PAIRS = 1 << 16
 # Merges of the first epoch; each epoch may have twice as many as the one before, up to the last value.
 FIRST_EPOCH, LONGEST_EPOCH = 64, 2048
+# Merges of one round, at most.
+LONGEST_ROUND = 64
+# Pairs whose changes a task holds before it hands them on.
+HELD_CHANGES = 1 << 20
 # Words with more symbols are not in the index, where a word stands once for each of its pairs; rounds pass over them.
 LONGEST_INDEXED = 256
 
 
 def pair_index(words: DataFrame) -> DataFrame:
-    """``(pair BINARY, word, n)``: a row for each word and each different pair in it, sorted by pair.
+    """``(pair, word, n)``: a row for each word and each different pair in it, sorted by pair.
 
     Range partitions by pair and word split a pair that many words share.
     """
-    wide = words.where(F.length("word") <= LONGEST_INDEXED).select("word", "n", F.encode("word", "UTF-32").alias("wide"))
-    spots = F.expr("sequence(1, length(wide) - 7, 4)")
-    pairs = F.array_distinct(F.transform(spots, lambda at: F.substring(F.col("wide"), at, F.lit(8))))
-    rows = wide.where("length(wide) > 4").select(F.explode(pairs).alias("pair"), "word", "n")
+    spots = F.expr("sequence(1, length(word) - 1)")
+    pairs = F.array_distinct(F.transform(spots, lambda at: F.substring(F.col("word"), at, F.lit(2))))
+    short = words.where(F.length("word").between(2, LONGEST_INDEXED))
+    rows = short.select(F.explode(pairs).alias("pair"), "word", "n")
     return rows.repartitionByRange("pair", "word").sortWithinPartitions("pair")
 
 
-def _words_with(index: DataFrame, seams: list[bytes]) -> DataFrame:
-    """Words ``(word, n)`` of the index that hold one of the pairs, each once.
+def _words_with(index: DataFrame, seams: list[str]) -> DataFrame:
+    """Rows ``(pair, word, n)`` of the index for some pairs.
 
-    The equality tests reach the Parquet reader, which skips pages by the pairs they hold.  A word
-    found by several pairs counts at the first of them it holds.
+    The equality tests reach the Parquet reader, which skips pages by the pairs they hold.  Their
+    number is filled up to a power of two by pairs that no word has, so few different plans are compiled.
     """
-    wanted = [F.lit(bytearray(seam)) for seam in seams]
-    hit = F.col("pair") == wanted[0]
-    for other in wanted[1:]:
-        hit = hit | (F.col("pair") == other)
-    texts = F.split(F.lit(",".join(seam.decode("utf-32-be") for seam in seams)), ",")
-    first = F.element_at(F.filter(texts, lambda seam: F.contains(F.col("word"), seam)), 1)
-    return index.where(hit & (F.encode(first, "UTF-32") == F.col("pair"))).select("word", "n")
+    wanted = 8
+    while wanted < len(seams):
+        wanted *= 2
+    fillers = [f"{k:02d}"[-2:] for k in range(wanted - len(seams))]
+    return index.where(" or ".join(f"pair = '{seam}'" for seam in [*seams, *fillers]))
+
+
+def _ranks(merges: list[tuple[int, int, int]]) -> dict[str, tuple[int, str, str]]:
+    """Pair -> (rank, pair, symbol it becomes), all as characters."""
+    found = ((symbol_char(a) + symbol_char(b), symbol_char(new)) for a, b, new in merges)
+    return {pair: (rank, pair, new) for rank, (pair, new) in enumerate(found)}
+
+
+def merge_word(word: str, ranks: dict[str, tuple[int, str, str]]) -> str:
+    """``word`` after merges, lowest rank first, which is the same as one merge after the other."""
+    if len(word) > 64:
+        pair_rank = lambda s, m, e, left, right: ranks.get(chr(left) + chr(right), (None,))[0]
+        symbols = [new for _, _, new in ranks.values()]
+        return "".join(map(chr, merge_piece(word, [ord(c) for c in word], pair_rank, lambda r, s, e: ord(symbols[r]))))
+    while True:
+        known = [ranks[pair] for pair in map(add, word, word[1:]) if pair in ranks]
+        if not known:
+            return word
+        _, pair, symbol = min(known)
+        word = word.replace(pair, symbol)
+
+
+def _apply(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """Words of at least two symbols after some more merges."""
+    ranks = _ranks(merges)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now = pa.array([merge_word(w, ranks) for w in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([now, batch.column(1)], ["word", "n"])
 
-def _count_changes(words: DataFrame, done: list[tuple[int, int, int]], batch: list[tuple[int, int, int]]) -> DataFrame:
-    """``(pair, n)``: how ``batch`` changes pair counts in words that ``done`` has yet to be applied to."""
-    before = words.select(_merged(F.col("word"), done).alias("before"), "n")
-    both = before.select("before", _merged(F.col("before"), batch).alias("after"), "n").where("before <> after")
-    signed = F.array(F.struct(F.col("before").alias("word"), (-F.col("n")).alias("n")), F.struct(F.col("after").alias("word"), "n"))
-    return pair_counts(both.select(F.explode(signed).alias("w")).select("w.word", "w.n")).where("n <> 0")
+    return words.select("word", "n").mapInArrow(run, "word string, n bigint").where(F.length("word") > 1)
+
+
+def _count_changes(found: DataFrame, done: list[tuple[int, int, int]], batch: list[tuple[int, int, int]], seams: list[str]) -> DataFrame:
+    """``(pair, n)``: how ``batch`` changes pair counts in words as they stand before ``done``.
+
+    A word found by several pairs counts at the first of them; a null pair marks words outside the
+    index.  A task adds its changes up before they are shuffled.
+    """
+    before, after, wanted = _ranks(done), _ranks(batch), set(seams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            kept = {pair: n for pair, n in total.items() if n}
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["pair", "n"])
+
+        for rows_in in batches:
+            for pair, word, n in zip(*(column.to_pylist() for column in rows_in.columns)):
+                if pair is not None and min(p for p in map(add, word, word[1:]) if p in wanted) != pair:
+                    continue
+                old = merge_word(word, before)
+                new = merge_word(old, after)
+                if old == new:
+                    continue
+                for p in map(add, old, old[1:]):
+                    total[p] = total.get(p, 0) - n
+                for p in map(add, new, new[1:]):
+                    total[p] = total.get(p, 0) + n
+            if len(total) > HELD_CHANGES:
+                yield rows()
+        yield rows()
+
+    changes = found.select("pair", "word", "n").mapInArrow(run, "pair string, n bigint")
+    return changes.groupBy("pair").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def _seam(left: int, right: int, base: int, merges: list[tuple[int, int]]) -> tuple[int, int]:
@@ -167,18 +228,6 @@ def _seam(left: int, right: int, base: int, merges: list[tuple[int, int]]) -> tu
     return left, right
 
 
-def _merged(word: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """``word`` after some more merges, in order.
-
-    The merges are one constant that a fold runs through: the plan, and so its generated code, is the
-    same in every round.
-    """
-    if not merges:
-        return word
-    steps = F.split(F.lit(",".join("".join(map(symbol_char, m)) for m in merges)), ",")
-    return F.aggregate(steps, word, lambda w, m: F.replace(w, F.substring(m, 1, 2), F.substring(m, 3, 1)))
-
-
 def learn_merges(
     histogram: DataFrame, n_merges: int, *, layout: str = "rank", look_at: int = 1024, held_pairs: int = HELD_PAIRS
 ) -> list[tuple[int, int]]:
@@ -201,19 +250,19 @@ def learn_merges(
         # Pairs that rank behind the last one held are unknown; without such pairs nothing is.
         floor = (-held[-1]["n"], _pair_of(held[-1]["pair"])) if len(held) == held_pairs else (0, ())
         index = stage(pair_index(words), "index", slots[1][epochs % 2])
-        long = words.where(F.length("word") > LONGEST_INDEXED)
+        long = words.where(F.length("word") > LONGEST_INDEXED).select(F.lit(None).cast("string").alias("pair"), "word", "n")
         has_long = not long.isEmpty()
         base, done = BYTES + len(merges), []
         while len(merges) < n_merges and len(done) < epoch_size:
             top = heapq.nsmallest(look_at, ((-n, pair) for pair, n in counts.items()))
             ranked = [(*pair, -n) for n, pair in top if (n, pair) <= floor]
-            batch = exact_batch(ranked)[: n_merges - len(merges)]
+            batch = exact_batch(ranked)[: min(LONGEST_ROUND, n_merges - len(merges))]
             if not batch:
                 break
             numbered = [(left, right, BYTES + len(merges) + k) for k, (left, right) in enumerate(batch)]
-            seams = sorted({_pair_bytes(*_seam(left, right, base, merges)) for left, right in batch})
-            touched = _words_with(index, seams)
-            changes = _count_changes(touched.unionByName(long) if has_long else touched, done, numbered)
+            seams = sorted({"".join(map(symbol_char, _seam(left, right, base, merges))) for left, right in batch})
+            found = _words_with(index, seams)
+            changes = _count_changes(found.unionByName(long) if has_long else found, done, numbered, seams)
             merges += batch
             done += numbered
             if len(merges) == n_merges:
@@ -221,7 +270,7 @@ def learn_merges(
             # A gain belongs to a pair with a new symbol; one that ranks behind the floor is not needed.  Either
             # kind has at most a few pairs for each symbol and merge.
             for r in changes.where((F.col("n") < 0) | (F.col("n") >= -floor[0])).collect():
-                pair = _pair_of(r["pair"])
+                pair = _symbol_of(ord(r["pair"][0])), _symbol_of(ord(r["pair"][1]))
                 if pair in counts or r["n"] > 0:
                     counts[pair] = counts.get(pair, 0) + r["n"]
                     if counts[pair] <= 0:
@@ -230,8 +279,7 @@ def learn_merges(
             return merges
         epochs += 1
         epoch_size = min(2 * epoch_size, LONGEST_EPOCH)
-        merged = words.select(_merged(F.col("word"), done).alias("word"), "n")
-        words = stage(merged.filter(F.length("word") > 1), "words", slots[0][epochs % 2])
+        words = stage(_apply(words, done), "words", slots[0][epochs % 2])
 
 
 def train(
