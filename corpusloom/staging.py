@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,35 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
+    return path
+
+
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of tables staged inside, so that they can be released once the result is written."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording[:] = [held for held in _recording if held is not paths]
+
+
+def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Delete staged tables that ``needed`` does not read; returns those it does."""
+    read = needed.inputFiles()
+    left = [path for path in paths if any(path.split("://")[-1] in file for file in read)]
+    for path in paths:
+        if path not in left:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return left
 
 
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
