@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash
+from corpusloom.llm import minhash, rows
 from corpusloom.llm.components import components
 from corpusloom.staging import stage
 
@@ -203,26 +203,19 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     are empty, and empty texts are one group.  A null id stays only if its group has no other; of
     equal rows one stays.  All columns are kept.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    body = F.coalesce(F.col(text), F.lit(""))
-    marked = stage(
-        keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("who"), minhash.marks(body).alias("m")), "marks"
-    )
+    keyed = rows.nested(docs, id=F.col("doc_id"), body=F.coalesce(F.col(text), F.lit("")))
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "key_a", "key_b")
+    marked = keyed.select(who.alias("who"), minhash.marks(F.col("body")).alias("m"))
     # Equal nodes have equal keys.
-    smallest = stage(
-        marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys")), "nodes"
-    )
+    smallest = stage(marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys")), "nodes")
     met = minhash.candidates(smallest.select("node", "keys"))
-    asked = smallest.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("least._key").alias("_key"))
-    texts = keyed.select("_key", body.alias("_body")).join(stage(asked, "asked"), "_key").dropDuplicates(["node"])
-    sets = stage(texts.select("node", minhash.sets_of(F.col("_body")).alias("set")), "sets")
+    asked = smallest.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.key_a", "least.key_b")
+    texts = keyed.select("key_a", "key_b", "body").join(stage(asked, "asked"), ["key_a", "key_b"]).dropDuplicates(["node"])
+    sets = stage(texts.select("node", minhash.sets_of(F.col("body")).alias("set")), "sets")
     root = minhash.alike_components(met, sets)
     grouped = smallest.select("node", "least").join(root, "node", "left")
-    kept = stage(
-        grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("who")).select(F.col("who._key").alias("_key")).distinct(), "kept"
-    )
-    repeated = marked.select(F.col("who._key").alias("_key")).join(kept, "_key", "left_semi").groupBy("_key").count().where("count > 1")
-    rows = keyed.join(kept, "_key", "left_semi")
-    if not repeated.isEmpty():
-        rows = rows.dropDuplicates(["_key"])
-    return rows.select(*docs.columns)
+    kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("who"))
+    kept = stage(kept.select("who.key_a", "who.key_b"), "kept")
+    # Equal rows have equal keys; the join has put them into one partition.
+    one = keyed.select("row", "key_a", "key_b").join(kept, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
+    return one.select("row.*")

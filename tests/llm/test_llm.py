@@ -1,6 +1,7 @@
 """Each operator of the subpackage against brute force or an exact round trip, and on odd tables."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -273,6 +274,53 @@ def test_components_do_not_depend_on_the_smallest_of_a_key(spark):
     assert got == {3: 2, 4: 2, 6: 5}
 
 
+def test_prefix_pairs_hold_all_alike_sets_and_few_others(spark):
+    rng = np.random.default_rng(9)
+    common = rng.integers(-(1 << 62), 1 << 62, 200)
+    sets = []
+    for i in range(120):
+        if i % 3 == 0 and i:  # a near copy of an earlier set
+            base = sets[int(rng.integers(0, i))]
+            drop = rng.random(len(base)) < rng.uniform(0.0, 0.15)
+            sets.append(np.unique(np.concatenate([base[~drop], rng.integers(-(1 << 62), 1 << 62, int(drop.sum()))])))
+        else:  # shares three quarters of its shingles with all others
+            sets.append(np.unique(np.concatenate([common[:150], rng.integers(-(1 << 62), 1 << 62, 50)])))
+    stored = spark.createDataFrame([(i, bytearray(np.sort(s.view(np.uint64)).tobytes())) for i, s in enumerate(sets)], "node long, set binary")
+    nodes = spark.range(len(sets)).select(F.col("id").alias("node"), F.col("id").alias("root"))
+    got = {frozenset((r.a, r.b)) for r in minhash.prefix_pairs(nodes, stored).collect()}
+    held = [set(s.tolist()) for s in sets]
+    alike = {frozenset((i, j)) for i in range(120) for j in range(i) if len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])}
+    assert len(alike) > 20 and alike <= got
+    assert len(got) < 3 * len(alike)
+    together = nodes.withColumn("root", F.lit(0).cast("long"))
+    assert minhash.prefix_pairs(together, stored).isEmpty()
+
+
+def test_pipeline_keeps_columns_of_any_name_and_type(spark, tmp_path, folders):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, _leak long, row int, `a.b` string, m map<string,int>, leak string"
+    texts = ["one two three four five six", "le chat noir dort sous la table", "der hund liegt im haus und bellt laut"]
+    data = [(i, t, l, "s", 1, "keepme", 7, 8, "dot", {"k": 1}, "x") for i, (t, l) in enumerate(zip(texts, ["en", "fr", "de"]))]
+    docs = spark.createDataFrame(data, schema)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, folders[1])
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert {(r._key, r._leak, r.row, r["a.b"], r.m["k"], r.leak) for r in found} == {("keepme", 7, 8, "dot", 1, "x")}, name
+        if name != "mixture":
+            assert sorted(r.doc_id for r in found) == [0, 1, 2], name
+    assert corpus_pipeline.sharding(spark, docs, folders[1]).count() == 3
+
+
+def test_scratch_of_a_stage_goes_once_its_result_is_written(spark, folders, tmp_path):
+    docs = spark.read.parquet(f"{folders[0]}/documents.parquet")
+    app = spark.sparkContext.applicationId
+    corpus_pipeline.near_duplicates(spark, docs, folders[0]).write.parquet(f"{tmp_path}/written")
+    paths = corpus_pipeline._scratch[app]
+    assert paths
+    corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/written"), folders[0])
+    assert not [p for p in paths if os.path.exists(p)]
+
+
 def test_texts_under_one_repeated_run_stay_apart(spark):
     rng = np.random.default_rng(8)
     own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(6)]
