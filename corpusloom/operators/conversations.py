@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.codec import encoder, token_text, vocab_rows
 from corpusloom.operators.running import with_position
+from corpusloom.staging import stage
 
 MAX_TOKENS = 2048
 PART_TYPES = ("text", "python", "python_output")
@@ -31,6 +32,11 @@ def numbered(messages: DataFrame) -> DataFrame:
     return with_position(messages, ["conv_id"], "turn", "ord")
 
 
+def _numbered_once(messages: DataFrame) -> DataFrame:
+    """As ``numbered``, as a table, for operators that judge conversations and then use their messages."""
+    return stage(numbered(messages), "messages")
+
+
 def _plain(parts: Column) -> Column:
     return (F.size(parts) == 1) & (parts[0]["type"] == "text")
 
@@ -49,12 +55,12 @@ def _fault(index: Column) -> Column:
 
 
 def verdicts(messages: DataFrame) -> DataFrame:
-    """One row per conversation: its size, how it starts, and its first fault, if any.
+    """One row per conversation: its size, how it starts and ends, and its first fault, if any.
 
     ``messages`` carries ``ord``.  Faults are found for both ways a conversation can start, with
     and without a system message; the first message then says which of the two counts.
     """
-    at, turn = F.col("ord"), F.col("turn")
+    at, turn, role = F.col("ord"), F.col("turn"), F.col("role")
     after_system = (
         F.when((at == 0) & ~_plain(F.col("parts")), "system_content_not_text")
         .when((at == 1) & (F.col("role") != "user"), "system_without_user")
@@ -69,6 +75,7 @@ def verdicts(messages: DataFrame) -> DataFrame:
         F.max(F.when(at == 0, F.col("role"))).alias("_first_role"),
         F.max(place).alias("_last"),
         F.max_by("role", at).alias("last_role"),
+        F.max(F.when((at == 0) & (role == "system"), F.col("parts")[0]["text"])).alias("system_text"),
         F.min(F.when(at == 0, turn)).alias("_first_turn"),
         first(_fault(at)).alias("_plain_fault"),
         first(after_system).alias("_system_fault"),
@@ -83,6 +90,7 @@ def verdicts(messages: DataFrame) -> DataFrame:
         with_system.alias("with_system"),
         F.col("_last.ord").alias("last_ord"),
         "last_role",
+        "system_text",
         fault.otherwise(F.col("_plain_fault")).alias("fault"),
     )
 
@@ -122,9 +130,23 @@ def render(
     encode: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``(conv_id, ids, mask)`` of every conversation without a fault; mask 1 is trained on."""
-    rows = numbered(messages)
-    good = verdicts(rows).filter(F.col("fault").isNull()).select("conv_id")
-    return _render(rows.join(good, "conv_id", "left_semi"), vocab, max_tokens, encode)
+    rows = _numbered_once(messages)
+    good = verdicts(rows).filter(F.col("fault").isNull()).select("conv_id", "with_system", "system_text")
+    # A system message is merged away, so one message more may be needed.
+    short = rows.filter(F.col("ord") <= max_tokens).join(good, "conv_id")
+    return _render(_with_system_text(short), vocab, max_tokens, encode)
+
+
+def _with_system_text(rows: DataFrame) -> DataFrame:
+    """Messages of allowed conversations with the system message put in front of the user message after it.
+
+    The verdict has brought the system's text to every message of its conversation, so nothing
+    is joined or sorted here.
+    """
+    text = F.concat(F.col("system_text"), F.lit("\n\n"), F.col("parts")[0]["text"])
+    merged = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    parts = F.when(F.col("with_system") & (F.col("ord") == 1), merged).otherwise(F.col("parts"))
+    return rows.filter(~F.col("with_system") | (F.col("ord") > 0)).withColumn("parts", parts).drop("with_system", "system_text")
 
 
 def _render(rows: DataFrame, vocab: DataFrame, max_tokens: int, encode: Callable | None) -> DataFrame:
@@ -135,11 +157,9 @@ def _render(rows: DataFrame, vocab: DataFrame, max_tokens: int, encode: Callable
         return F.array(F.lit(special[f"<|{name}|>"]))
 
     none = F.array().cast("array<int>")
-    # A system message is merged away, so one message more may be needed.
-    short = merge_system(rows.filter(F.col("ord") <= max_tokens))
     # A message without parts still opens and closes.
     blank = F.array(F.struct(F.lit("text").alias("type"), F.lit("").alias("text")))
-    short = short.withColumn("parts", F.when(F.size("parts") == 0, blank).otherwise(F.col("parts")))
+    short = rows.withColumn("parts", F.when(F.size("parts") == 0, blank).otherwise(F.col("parts")))
     parts = short.select("conv_id", "ord", "role", F.size("parts").alias("_n"), F.posexplode("parts").alias("part", "p"))
     user, kind = F.col("role") == "user", F.col("p.type")
     python, output = ~user & (kind == "python"), ~user & (kind == "python_output")
@@ -193,7 +213,7 @@ def completion_prompts(
     The last message must come from the assistant and is not judged itself.  The start-of-answer
     token is added after cutting, so a prompt may hold ``max_tokens + 1`` ids.
     """
-    rows = numbered(messages)
+    rows = _numbered_once(messages)
     left = F.when(F.col("with_system"), F.col("last_ord") - 1).otherwise(F.col("last_ord"))
     usable = (
         verdicts(rows)
@@ -201,11 +221,11 @@ def completion_prompts(
         .filter(F.col("fault").isNull() | (F.col("fault.ord") >= F.col("last_ord")))
         # Something must be left, and a system message needs the user message after it.
         .filter(left >= 1)
-        .select("conv_id", "last_ord")
+        .select("conv_id", "last_ord", "with_system", "system_text")
     )
     # At most max_tokens + 1 messages of a conversation take part, so the join cannot skew.
     kept = rows.filter(F.col("ord") <= max_tokens).join(usable, "conv_id").filter(F.col("ord") < F.col("last_ord"))
-    prompts = _render(kept.drop("last_ord"), vocab, max_tokens, encode)
+    prompts = _render(_with_system_text(kept.drop("last_ord")), vocab, max_tokens, encode)
     start = next(r["token_id"] for r in vocab_rows(vocab) if r["name"] == "<|assistant_start|>")
     return prompts.select("conv_id", F.array_append("ids", F.lit(start)).alias("ids"))
 

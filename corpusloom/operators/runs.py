@@ -139,21 +139,41 @@ def _cut(batch_rows: int, seq_len: int) -> Callable[[Iterator[pa.RecordBatch]],
     return cut
 
 
-def cut_runs(placed: DataFrame, batch_rows: int, seq_len: int) -> DataFrame:
+def _located(placed: DataFrame, starts: DataFrame) -> DataFrame:
+    # One row per run: the planner sees the table's size and sends it to the tasks while it is small.
+    return placed.where("n > 0").join(starts, "run").select((F.col("run_start") + F.col("run_pos")).alias("start_pos"), "n", "ids")
+
+
+def cut_runs(
+    placed: DataFrame, batch_rows: int, seq_len: int, *, first_batch: int = 0, starts: DataFrame | None = None
+) -> DataFrame:
     """Training rows ``(batch_id, row_in_batch, inputs, targets)`` of a table of runs, as ``stream_batches`` cuts them.
 
-    Documents without tokens take no place; a last batch that is not full is left out.
+    Documents without tokens take no place; a last batch that is not full is left out.  ``starts`` may
+    give the runs' places, as ``run_starts`` does.
     """
-    starts = run_starts(placed)
-    total = starts.agg(F.coalesce(F.sum("run_tokens"), F.lit(0)).cast("bigint")).first()[0]
-    full_rows = total // (batch_rows * seq_len + 1) * batch_rows
-    # One row per run: the planner sees the table's size and sends it to the tasks while it is small.
-    located = placed.where("n > 0").join(starts, "run").select((F.col("run_start") + F.col("run_pos")).alias("start_pos"), "ids")
+    starts = run_starts(placed) if starts is None else starts
+    full_rows = full_batches(starts, batch_rows, seq_len) * batch_rows
+    located = _located(placed, starts).select("start_pos", "ids")
     pieces = stage(located.mapInArrow(_cut(batch_rows, seq_len), CUT), "cut").where(F.col("row") < full_rows)
     inside = pieces.where("whole").select("row", F.col("ids").alias("buf"))
     ends = pieces.where("not whole").groupBy("row").agg(ordered_concat(F.col("at"), F.col("ids")).alias("buf"))
     inputs, targets = shift(F.col("buf"), seq_len)
     return inside.unionByName(ends).select(
-        F.expr(f"row div {batch_rows}").alias("batch_id"), F.expr(f"cast(row % {batch_rows} as int)").alias("row_in_batch"),
+        (F.expr(f"row div {batch_rows}") + first_batch).alias("batch_id"), F.expr(f"cast(row % {batch_rows} as int)").alias("row_in_batch"),
         inputs.alias("inputs"), targets.alias("targets"),
     )
+
+
+def full_batches(starts: DataFrame, batch_rows: int, seq_len: int) -> int:
+    total = starts.agg(F.coalesce(F.sum("run_tokens"), F.lit(0)).cast("bigint")).first()[0]
+    return total // (batch_rows * seq_len + 1)
+
+
+def left_over(placed: DataFrame, starts: DataFrame, batch_rows: int, seq_len: int) -> DataFrame:
+    """One row ``ids``: the tokens behind the last full batch, less than a batch."""
+    used = full_batches(starts, batch_rows, seq_len) * (batch_rows * seq_len + 1)
+    rest = _located(placed, starts).where(F.col("start_pos") + F.col("n") > used).select(
+        "start_pos", F.expr(f"slice(ids, cast(greatest({used} - start_pos, 0) as int) + 1, size(ids))").alias("ids")
+    )
+    return rest.agg(ordered_concat(F.col("start_pos"), F.col("ids")).alias("ids"))

@@ -50,11 +50,11 @@ def debiased_ema(spark, sf_dir):
 
 
 def running_best(spark, sf_dir):
-    return runlog.running_best(_log(spark, sf_dir)).select("run", "step", "best")
+    return runlog.running_best(stage(_log(spark, sf_dir), "log")).select("run", "step", "best")
 
 
 def training_time(spark, sf_dir):
-    timed = runlog.training_time(_log(spark, sf_dir))
+    timed = runlog.training_time(stage(_log(spark, sf_dir), "log"))
     return timed.select("run", "step", F.round("total_time", 6).alias("total_time"))
 
 

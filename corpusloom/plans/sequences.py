@@ -95,8 +95,8 @@ def packed_sequences(spark, sf_dir):
 
 
 def packing_audit(spark, sf_dir):
-    offsets = byte_offsets(spark, sf_dir)
-    return packing.packing_audit(offsets, packing.pack_plan(offsets, B, T))
+    offsets = stage(byte_offsets(spark, sf_dir), "positions")
+    return packing.packing_audit(offsets, stage(packing.pack_plan(offsets, B, T), "plan"))
 
 
 def _token_files(spark, sf_dir):

@@ -6,6 +6,7 @@ files by bytes and cannot be told which groups to leave out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from corpusloom.sources.corpus import row_groups
@@ -52,6 +53,10 @@ class RowGroupSource(DataSource):
     def reader(self, schema: StructType) -> RowGroupReader:
         return RowGroupReader(self.options["groups"], schema.names[4:])
 
+    def streamReader(self, schema: StructType) -> RowGroupStream:
+        epochs = int(self.options.get("epochs", 0))
+        return RowGroupStream(self.options["groups"], schema.names[4:], int(self.options["per_trigger"]), epochs, self.options["progress"])
+
 
 class RowGroupReader(DataSourceReader):
     def __init__(self, groups: str, columns: list[str]):
@@ -79,29 +84,92 @@ class RowGroupReader(DataSourceReader):
                 at += n
 
 
+class RowGroupStream(DataSourceStreamReader):
+    """The listed row groups read over and over, or ``epochs`` times.
+
+    An offset counts row groups since the start, so it names epoch, file and row group at once, and one epoch follows
+    the other without a seam.  A micro-batch takes up to ``per_trigger`` groups, each one partition.  The
+    ``progress`` file tells a restarted stream how far it had come.
+    """
+
+    def __init__(self, groups: str, columns: list[str], per_trigger: int, epochs: int, progress: str):
+        self.batch = RowGroupReader(groups, columns)
+        self.groups = self.batch.partitions()
+        self.per_trigger, self.epochs, self.progress = per_trigger, epochs, progress
+        system, path = filesystem(progress)
+        if system.get_file_info(path).is_file:
+            with system.open_input_stream(path) as file:
+                self.at = json.loads(file.read())["at"]
+        else:
+            self.at = 0
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        ahead = self.at + self.per_trigger if self.groups else 0
+        return {"at": min(ahead, self.epochs * len(self.groups)) if self.epochs else ahead}
+
+    def partitions(self, start: dict, end: dict) -> list[Group]:
+        self.at = max(self.at, end["at"])
+        at = range(start["at"], end["at"])
+        return [Group(g, k.file, k.row_group, k.first_row) for g in at for k in [self.groups[g % len(self.groups)]]]
+
+    def commit(self, end: dict) -> None:
+        system, path = filesystem(self.progress)
+        system.create_dir(path.rsplit("/", 1)[0])
+        with system.open_output_stream(path) as file:
+            file.write(json.dumps(end).encode())
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        return self.batch.read(partition)
+
+
+def _listed(groups: DataFrame) -> str:
+    """Path of the list of groups, numbered in the order of file and row group."""
+    # One row per row group of the corpus: the list a planner holds anyway.
+    listed = groups.select("file", "row_group", "first_row").coalesce(1).sortWithinPartitions("file", "row_group")
+    path = fresh_path(groups.sparkSession, "groups")
+    listed.withColumn("run", F.monotonically_increasing_id()).write.parquet(path)
+    groups.sparkSession.dataSource.register(RowGroupSource)
+    return qualified(groups.sparkSession, path)
+
+
+def stream_groups(
+    groups: DataFrame, progress: str, per_trigger: int, *, epochs: int | None = None, columns: str = "text string"
+) -> DataFrame:
+    """A stream of the listed row groups, ``per_trigger`` a micro-batch, without end or ``epochs`` times over.
+
+    ``progress`` is a file that belongs to the stream's checkpoint.
+    """
+    path = _listed(groups)
+    reader = groups.sparkSession.readStream.format(FORMAT).option("groups", path).option("columns", columns)
+    reader = reader.option("per_trigger", per_trigger).option("progress", qualified(groups.sparkSession, progress))
+    return reader.option("epochs", epochs or 0).load()
+
+
 def read_groups(groups: DataFrame, columns: str = "text string") -> DataFrame:
     """Rows of the listed row groups ``(file, row_group, first_row)``, each group a partition.
 
     Partitions, and ``run``, follow the order of file and row group.  The list is one small row per group; it
     is written to the shared folder and read where the partitions are planned.
     """
-    spark = groups.sparkSession
-    # One row per row group of the corpus: the list a planner holds anyway.
-    listed = groups.select("file", "row_group", "first_row").coalesce(1).sortWithinPartitions("file", "row_group")
-    path = fresh_path(spark, "groups")
-    listed.withColumn("run", F.monotonically_increasing_id()).write.parquet(path)
-    spark.dataSource.register(RowGroupSource)
-    return spark.read.format(FORMAT).option("groups", qualified(spark, path)).option("columns", columns).load()
+    path = _listed(groups)
+    return groups.sparkSession.read.format(FORMAT).option("groups", path).option("columns", columns).load()
+
+
+def rank_groups(spark: SparkSession, path: str, rank: int, world: int) -> DataFrame:
+    """``(file, row_group, first_row, n_rows)`` of every file under ``path`` that rank ``rank`` of ``world`` reads:
+    the groups whose ordinal in their file leaves the remainder ``rank``."""
+    if not 0 <= rank < world:
+        raise ValueError(f"rank must be at least 0 and below {world}, not {rank}")
+    return row_groups(spark, path).where((F.col("row_group") % world == rank) & (F.col("n_rows") > 0))
 
 
 def read_rank_groups(spark: SparkSession, path: str, rank: int, world: int, columns: str = "text string") -> DataFrame:
-    """``(run, file, row_group, row_index, ...)`` of the groups of every file under ``path`` that rank ``rank`` of
-    ``world`` reads: those whose ordinal in their file leaves the remainder ``rank``.
+    """``(run, file, row_group, row_index, ...)`` of the row groups that belong to a rank.
 
     Footers of all files are read, and of their contents only these groups.  A rank beyond the
     number of groups reads nothing.
     """
-    if not 0 <= rank < world:
-        raise ValueError(f"rank must be at least 0 and below {world}, not {rank}")
-    mine = row_groups(spark, path).where((F.col("row_group") % world == rank) & (F.col("n_rows") > 0))
-    return read_groups(mine, columns)
+    return read_groups(rank_groups(spark, path, rank, world), columns)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.operators.codec import with_ends
+from corpusloom.operators.runs import cut_runs, full_batches, in_runs, left_over, run_starts
 from corpusloom.operators.sequences import ordered_concat, stream_batches, token_offsets
 from corpusloom.sources.corpus import row_group
 from corpusloom.staging import stage
@@ -95,6 +96,37 @@ def cut_stream(
     )
 
 
+def cut_lane(
+    lane: DataFrame, sink: str, encode: Callable[[Column], Column], bos_id: int, batch_rows: int, seq_len: int
+) -> StreamingQuery:
+    """Cut a lane's row groups, as ``stream_groups`` gives them, into training rows until the query is stopped.
+
+    A micro-batch is cut where its row groups are read.  Tokens behind its last full batch, the number of
+    batches so far and the rows are written under the micro-batch's number, so a restart repeats or goes on and
+    the rows are those of one uninterrupted cut.
+    """
+
+    def cut(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        texts = batch.filter(F.col("text").isNotNull())
+        placed = in_runs(texts, lambda text: with_ends(encode(text), prepend=bos_id)).select("run", "run_pos", "n", "ids")
+        next_batch = 0
+        if epoch > 0:
+            before = spark.read.schema(STATE_SCHEMA).parquet(f"{sink}/state/epoch={epoch - 1}")
+            next_batch = before.first()["next_batch"]
+            none = F.lit(0).cast("bigint")
+            carried = before.select((none - 1).alias("run"), none.alias("run_pos"), F.size("ids").cast("bigint").alias("n"), "ids")
+            placed = carried.unionByName(placed)
+        starts = run_starts(placed)
+        rows = cut_runs(placed, batch_rows, seq_len, first_batch=next_batch, starts=starts)
+        rows.write.mode("overwrite").parquet(f"{sink}/rows/epoch={epoch}")
+        done = F.lit(next_batch + full_batches(starts, batch_rows, seq_len)).cast("bigint").alias("next_batch")
+        rest = left_over(placed, starts, batch_rows, seq_len)
+        rest.select(done, "ids").write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch}")
+
+    return lane.writeStream.foreachBatch(cut).option("checkpointLocation", f"{sink}/checkpoint").start()
+
+
 def cut_rows(spark: SparkSession, sink: str) -> DataFrame:
     """Training rows written so far."""
     schema = "batch_id bigint, row_in_batch int, inputs array<int>, targets array<bigint>"
