@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.fixed_values import (
@@ -12,6 +16,8 @@ from corpusloom.functions.fixed_values import (
     HOURLY_RATES,
 )
 
+# Largest list of keys that is sent to tasks, in bytes.
+MAX_KEY_BYTES = 64 << 20
 STAGES = ["base", "mid", "sft", "rl"]
 # Which section feeds which column of the summary, and the keys looked for in it.
 STAGE_SOURCES = {
@@ -48,6 +54,59 @@ def extract_metrics(lines: DataFrame, keys: list[str] | Column, by: list[str], e
     return hits.groupBy(*by, "key").agg(F.max_by(value, F.col("line_no")).alias("value"))
 
 
+def key_matcher(spark: SparkSession, keys: list[str]) -> Callable[[Column], Column]:
+    """A function from a text column to the 0-based places in ``keys`` of the keys it contains, in ascending order.
+
+    One automaton finds all keys in one pass over a text, however many there are; it is built
+    once per task from the broadcast keys, whose bytes are checked.  An empty key is in every text; a null text
+    gives NULL.
+    """
+    size = sum(len(k.encode()) + 8 for k in keys)
+    if size > MAX_KEY_BYTES:
+        raise ValueError(f"the keys take {size} bytes; the limit is {MAX_KEY_BYTES}")
+    shared = spark.sparkContext.broadcast(list(keys))
+
+    @F.arrow_udf("array<int>")
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: dict[str, list[int]] = {}
+        for place, key in enumerate(shared.value):
+            held.setdefault(key, []).append(place)
+        everywhere = held.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for key, found in held.items():
+            automaton.add_word(key, found)
+        automaton.make_automaton()
+        search = automaton.iter if held else lambda text: ()
+        for texts in batches:
+            hits = [
+                None if text is None else sorted({p for _, found in search(text) for p in found}.union(everywhere))
+                for text in texts.to_pylist()
+            ]
+            yield pa.array(hits, pa.list_(pa.int32()))
+
+    return lambda text: places(text)
+
+
+def extract_many(lines: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """As ``extract_metrics`` for any number of keys: each line is read once.
+
+    Repeated keys count once.  A line that several keys are in gives a row for each before the last ones are
+    taken, combined before the shuffle.
+    """
+    distinct = sorted(set(keys))
+    spark = lines.sparkSession
+    found = lines.select(*by, "line_no", "line", F.explode(key_matcher(spark, distinct)(F.col("line"))).alias("place"))
+    value = F.trim(F.get(F.split("line", ":"), F.lit(1)))
+    last = found.groupBy(*by, "place").agg(F.max_by(value, F.col("line_no")).alias("value"))
+    names = spark.createDataFrame(list(enumerate(distinct)), "place int, key string")
+    return last.join(names, "place").select(*by, "key", "value")
+
+
+def first_key(spark: SparkSession, text: Column, keys: list[str]) -> Column:
+    """Place of the first of ``keys``, in their order, that ``text`` contains; NULL if none is in it."""
+    return F.get(key_matcher(spark, keys)(text), F.lit(0))
+
+
 def parse_stamp(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` as a timestamp without zone; NULL when it is none."""
     parts = [F.regexp_extract(text, _STAMP, i).try_cast("int") for i in range(1, 7)]

@@ -10,14 +10,17 @@ from corpusloom.operators.runs import cut_runs, in_runs
 from corpusloom.plans.oracle_parts import byte_list
 from corpusloom.plans.tables import BOS, documents, numbered_documents
 from corpusloom.sources import corpus
-from corpusloom.sources.row_group_reader import read_rank_groups
+from corpusloom.sources.row_group_reader import rank_groups, read_rank_groups, stream_groups
 from corpusloom.staging import fresh_path
+from corpusloom.streaming.cut import cut_lane, cut_rows
 
 GROUP_ROWS, BATCH_ROWS, WORLD, WANTED = 16, 8, 4, 25
 # No multiple of the group size, so that the last group of a file is a short one.
 FILE_ROWS = 1000
 # Training rows of a lane: rows a batch, tokens a row.
 LANE_ROWS, LANE_TOKENS = 2, 1024
+# Streamed lanes, how often each reads its groups, and groups of a micro-batch.
+LANES, EPOCHS, GROUPS_A_TRIGGER = 2, 2, 24
 
 
 def corpus_scan(spark, sf_dir):
@@ -82,6 +85,21 @@ def rank_batches(spark, sf_dir):
     return found.select("rank", "batch_id", "row_in_batch", joined(F.col("inputs")).alias("inputs"), joined(F.col("targets")).alias("targets"))
 
 
+def lane_stream(spark, sf_dir):
+    """Training rows of two lanes that read their row groups ``EPOCHS`` times over, as a stream in micro-batches."""
+    path = _grouped_files(spark, sf_dir, "text")
+    found = None
+    for rank in range(LANES):
+        sink = fresh_path(spark, "lane")
+        lane = stream_groups(rank_groups(spark, path, rank, LANES), f"{sink}/progress/at", GROUPS_A_TRIGGER, epochs=EPOCHS)
+        query = cut_lane(lane, sink, byte_ids, BOS, LANE_ROWS, LANE_TOKENS)
+        query.processAllAvailable()
+        query.stop()
+        rows = cut_rows(spark, sink).withColumn("rank", F.lit(rank))
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("rank", "batch_id", "row_in_batch", joined(F.col("inputs")).alias("inputs"), joined(F.col("targets")).alias("targets"))
+
+
 def doc_batches(spark, sf_dir):
     return corpus.with_doc_batch(numbered_documents(spark, sf_dir), GROUP_ROWS, BATCH_ROWS)
 
@@ -113,6 +131,7 @@ QUERIES = {
         row_group_partition,
         rank_read,
         rank_batches,
+        lane_stream,
         doc_batches,
         shard_manifest,
         shard_manifest_totals,
@@ -124,22 +143,21 @@ QUERIES = {
 _NUMBERED = """select source as shard, doc_id,
   row_number() over (partition by source order by doc_id) - 1 as row_index from documents"""
 
-_LANES = f"""
+def _lanes(world):
+    return f"""
 lanes as (
   select rank, text, doc_id, shard, row_index, shard as s, (row_index // {FILE_ROWS})::varchar as f, row_index % {FILE_ROWS} as r
-  from (select n.*, d.text, (n.row_index % {FILE_ROWS}) // {GROUP_ROWS} % {WORLD} as rank
+  from (select n.*, d.text, (n.row_index % {FILE_ROWS}) // {GROUP_ROWS} % {world} as rank
     from ({_NUMBERED}) n join documents d using (doc_id)))"""
-_SPAN = LANE_ROWS * LANE_TOKENS + 1
 
-ORACLE = {
-    "rank_read": f"""
-with {_LANES}
-select rank::int as rank, shard, row_index // {FILE_ROWS} as file_no, r // {GROUP_ROWS} as row_group, r as row_index, doc_id, text
-from lanes""",
-    "rank_batches": f"""
-with {_LANES},
+
+def _lane_rows(world, epochs):
+    """Batches of every lane that reads its documents ``epochs`` times."""
+    return f"""
+with {_lanes(world)},
 placed as (
-  select rank, text, sum(strlen(text) + 1) over (partition by rank order by s, f, r) - strlen(text) - 1 as start_pos from lanes),
+  select rank, text, sum(strlen(text) + 1) over (partition by rank order by epoch, s, f, r) - strlen(text) - 1 as start_pos
+  from lanes, range({epochs}) e(epoch)),
 tokens as (
   select rank, start_pos + i as pos, t from (
     select rank, start_pos, unnest(ids) as t, unnest(range(len(ids))) as i
@@ -151,7 +169,18 @@ join (
   select rank, pos // {_SPAN} as k, (pos % {_SPAN} - 1) // {LANE_TOKENS} as q, string_agg(t::varchar, ' ' order by pos) as targets
   from tokens where pos % {_SPAN} > 0 group by all) t using (rank, k, q)
 join (select rank, count(*) // {_SPAN} as full_batches from tokens group by rank) c on c.rank = i.rank
-where i.k < full_batches""",
+where i.k < full_batches"""
+
+
+_SPAN = LANE_ROWS * LANE_TOKENS + 1
+
+ORACLE = {
+    "rank_read": f"""
+with {_lanes(WORLD)}
+select rank::int as rank, shard, row_index // {FILE_ROWS} as file_no, r // {GROUP_ROWS} as row_group, r as row_index, doc_id, text
+from lanes""",
+    "rank_batches": _lane_rows(WORLD, 1),
+    "lane_stream": _lane_rows(LANES, EPOCHS),
     "corpus_rejects": """
 select source as shard, doc_id as row_index, 'null_text' as reason from documents where strlen(text) < 200""",
     "corpus_scan": "select 'documents.parquet' as shard, doc_id as row_index, text from documents",

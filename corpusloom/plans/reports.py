@@ -9,6 +9,7 @@ from corpusloom.operators import reports
 from corpusloom.plans.tables import table
 
 METRICS = ["CORE", *CHAT_METRICS]
+MANY = 10_000
 # Two more names than expected sections; the last event of a run in a section is its text.
 TITLES = [*EXPECTED_SECTIONS, "Side Notes", "Header"]
 
@@ -61,6 +62,11 @@ def extract_metrics_exact(spark, sf_dir):
     return reports.extract_metrics(_lines(spark, sf_dir), METRICS, ["run", "section"], exact=True)
 
 
+def extract_metrics_many(spark, sf_dir):
+    """The metric names and ten thousand decimals as keys, in one pass over each line."""
+    return reports.extract_many(_lines(spark, sf_dir), METRICS + [f"0.{i}" for i in range(MANY)], ["run", "section"])
+
+
 def extract_timestamp(spark, sf_dir):
     times = reports.extract_timestamp(_lines(spark, sf_dir), "timestamp:", ["run", "section"])
     return times.withColumn("ts", F.col("ts").cast("string"))
@@ -123,6 +129,7 @@ QUERIES = {
         slugify,
         extract_metrics,
         extract_metrics_exact,
+        extract_metrics_many,
         extract_timestamp,
         section_coverage,
         section_report,
@@ -178,6 +185,10 @@ ORACLE = {
     "extract_metrics": f"""
 with {_SECTIONS}
 select run, section, key, {_VALUE} as value from lines join keys on contains(line, key) group by all""",
+    "extract_metrics_many": f"""
+with {_SECTIONS},
+every as (select key from keys union all select '0.' || i from range({MANY}) r(i))
+select run, section, key, {_VALUE} as value from lines join every on contains(line, key) group by all""",
     "extract_metrics_exact": f"""
 with {_SECTIONS}
 select run, section, key, {_VALUE} as value from lines join keys

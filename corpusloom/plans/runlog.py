@@ -9,12 +9,15 @@ from corpusloom.operators.running import with_position
 from corpusloom.plans.tables import byte_lengths, documents, table
 from corpusloom.sources import run_metadata
 from corpusloom.staging import fresh_path, stage
+from corpusloom.streaming import runlog as streaming
 
 TOTAL_BATCH = 524_288
 EVAL_EVERY, SAMPLE_EVERY = 25, 20
 PEAK = 3e-4
 SAVE_EVERY, KEEP = 5, 3
 VOCAB, SEQ_LEN, DEVICE_BATCH = 50_304, 2048, 32
+# Files of the streamed log, and how many of them a micro-batch takes.
+LOG_FILES, FILES_A_TRIGGER = 6, 2
 
 
 def _log(spark, sf_dir):
@@ -58,6 +61,18 @@ def training_time(spark, sf_dir):
     return timed.select("run", "step", F.round("total_time", 6).alias("total_time"))
 
 
+def streaming_log(spark, sf_dir):
+    """The log's lines in mixed order over several micro-batches: smoothed loss, best value and time so far."""
+    path, sink = fresh_path(spark, "log_files"), fresh_path(spark, "folded")
+    log = _log(spark, sf_dir).select("run", "step", "loss", "val_bpb", "dt")
+    log.repartition(LOG_FILES, F.xxhash64("run", "step")).write.parquet(path)
+    lines = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES_A_TRIGGER).parquet(path)
+    streaming.follow_log(lines, sink).awaitTermination()
+    return streaming.folded_rows(spark, sink).select(
+        "run", "step", F.round("debiased", 6).alias("debiased"), "best", F.round("total_time", 6).alias("total_time")
+    )
+
+
 def _run_depth(column):
     return (column % 23 + 2).cast("int")
 
@@ -236,6 +251,7 @@ QUERIES = {
         debiased_ema,
         running_best,
         training_time,
+        streaming_log,
         throughput,
         cadence_filter,
         lr_schedule,
@@ -301,6 +317,15 @@ with {_LOG} select run, step, min(usable) over (partition by run order by step)
 with {_LOG}
 select run, step, round(sum(case when step > 10 then dt else 0 end) over (partition by run order by step), 6) as total_time
 from log""",
+    "streaming_log": f"""
+with recursive {_LOG},
+ema as (
+  select run, step, 0.1 * loss as s from log where step = 0
+  union all
+  select log.run, log.step, 0.9 * s + 0.1 * loss from ema join log on log.run = ema.run and log.step = ema.step + 1)
+select run, step, round(s / (1 - 0.9 ** (step + 1)), 6) as debiased, min(usable) over w as best,
+  round(sum(case when step > 10 then dt else 0 end) over w, 6) as total_time
+from ema join log using (run, step) window w as (partition by run order by step)""",
     "throughput": f"""
 with {_LOG}, runs as (select *, {_DEPTH} from log), {_sized("runs")}
 select run, step, round(100.0 * step / greatest(n_steps, 1), 6) as pct_done,

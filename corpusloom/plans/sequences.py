@@ -18,6 +18,8 @@ B, T, EPOCHS = 4, 2048, 3
 SPAN = B * T + 1
 # Tokens per file of the token-shard queries.
 FILE_TOKENS = 300_000
+# First and last batch that the seeking query reads of each file.
+SOUGHT = (3, 5)
 
 
 def _token_docs(spark, sf_dir):
@@ -135,6 +137,16 @@ def token_shard_batches(spark, sf_dir):
     return _shown(rows.withColumn("file", _file("shard")), "file", "batch_id", "row_in_batch")
 
 
+def token_shard_seek(spark, sf_dir):
+    """Some batches of every token file: the skip list tells where they are, and only their bytes are read."""
+    path = _token_files(spark, sf_dir)
+    index = token_shards.skip_list(spark, path, BOS)
+    docs = stage(sequences.token_offsets(token_shards.shard_documents(index), block_docs=1 << 23), "documents")
+    plan = packing.pack_plan(docs, B, T)
+    rows = token_shards.batch_rows_of(spark, path, plan, docs, T, *SOUGHT)
+    return _shown(rows.withColumn("file", _file("shard")), "file", "batch_id", "row_in_batch")
+
+
 def streaming_batches(spark, sf_dir):
     sink = fresh_path(spark, "streamed")
     stream = read_corpus_stream(spark, sf_dir, name_filter="documents.parquet")
@@ -158,6 +170,7 @@ QUERIES = {
         token_shard_headers,
         token_shard_roundtrip,
         token_shard_batches,
+        token_shard_seek,
         streaming_batches,
     )
 }
@@ -230,6 +243,14 @@ file_docs as (
   select shard, ord, bos_at, coalesce(lead(bos_at) over (partition by shard order by bos_at), size) - bos_at as n
   from starts join sizes using (shard))"""
 
+_FILE_ROWS = f"""
+with recursive {OFFSETS}, {_TOKENS}, {_FILES}, lens_of as (select shard, ord, n from file_docs), {_PLAN},
+doc_tokens as (
+  select f.shard, d.ord, f.spot - first_at as rel, f.t
+  from filed f join (select shard, min(bos_at) as first_at from starts group by shard) using (shard)
+    asof join file_docs d on d.shard = f.shard and f.spot >= d.bos_at)
+{_rows('file', 'doc_tokens', 'x.rel')}"""
+
 ORACLE = {
     "token_offsets": f"""
 with {OFFSETS} select shard, doc_id as row_index, n, ord, shard_pos, start_pos from offsets""",
@@ -275,13 +296,8 @@ select printf('tokens_%06d.bin', i::int) as file, {SHARD_MAGIC}::int as magic, {
 from files""",
     "token_shard_roundtrip": f"""
 with {OFFSETS}, {_TOKENS}, {_FILES} select shard as file, bos_at as pos, n from file_docs""",
-    "token_shard_batches": f"""
-with recursive {OFFSETS}, {_TOKENS}, {_FILES}, lens_of as (select shard, ord, n from file_docs), {_PLAN},
-doc_tokens as (
-  select f.shard, d.ord, f.spot - first_at as rel, f.t
-  from filed f join (select shard, min(bos_at) as first_at from starts group by shard) using (shard)
-    asof join file_docs d on d.shard = f.shard and f.spot >= d.bos_at)
-{_rows('file', 'doc_tokens', 'x.rel')}""",
+    "token_shard_batches": _FILE_ROWS,
+    "token_shard_seek": f"select * from ({_FILE_ROWS}) where batch_id between {SOUGHT[0]} and {SOUGHT[1]}",
     "streaming_batches": f"""
 with flat as (select doc_id, strlen(text) + 1 as n, text from documents),
 placed as (select doc_id, text, sum(n) over (order by doc_id) - n as start_pos from flat),

@@ -13,6 +13,9 @@ from corpusloom.plans.tables import BOS, MERGES, documents, spread_documents, to
 from corpusloom.sources.vocab_store import load_tokenizer, save_tokenizer
 from corpusloom.staging import fresh_path
 
+# Merges of the long training; its SQL would take as many recursive steps over all words, so it has none.
+LONG_MERGES = 512
+
 
 def pretokenize(spark, sf_dir):
     docs = spread_documents(spark, sf_dir)
@@ -49,6 +52,12 @@ def bpe_train_specials_first(spark, sf_dir):
     return tokenizer(spark, sf_dir, "specials_first")[1]
 
 
+def bpe_train_long(spark, sf_dir):
+    """``LONG_MERGES`` merges, through several epochs of the inverted index."""
+    histogram = bpe.pretoken_histogram(spread_documents(spark, sf_dir))
+    return bpe.tables(spark, bpe.learn_merges(histogram, LONG_MERGES))[1]
+
+
 def vocab_table(spark, sf_dir):
     vocab = tokenizer(spark, sf_dir)[0]
     return vocab.select("token_id", F.hex("bytes").alias("bytes_hex"), "is_special", "name", "n_bytes")
@@ -109,6 +118,7 @@ QUERIES = {
         decode_roundtrip,
         bpe_train,
         bpe_train_specials_first,
+        bpe_train_long,
         vocab_table,
         token_bytes,
         vocab_roundtrip,

@@ -49,15 +49,20 @@ def with_split(corpus: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     return corpus.withColumn("split", F.when(F.col("shard") == last, "val").otherwise("train"))
 
 
-def read_split(corpus: DataFrame, split: str) -> DataFrame:
+def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """Rows of one split of the files under ``path``; the file listing tells first and last shard."""
+    return read_split(read_corpus(spark, path), split, list_shards(spark, path))
+
+
+def read_split(corpus: DataFrame, split: str, shards: DataFrame | None = None) -> DataFrame:
     """Rows of one split.  A one-shard corpus has no training rows, which is an error here.
 
-    The last shard's name is looked up first and compared as a literal, so a scan with
-    ``_metadata`` columns opens only the files of the split.
+    The last shard's name is looked up first, in ``shards`` if given (any table with the shard column), and compared
+    as a literal, so a scan with ``_metadata`` columns opens only the files of the split.
     """
     if split not in SPLITS:
         raise ValueError(f"split must be one of {SPLITS}, not {split!r}")
-    ends = corpus.agg(F.min("shard").alias("first"), F.max("shard").alias("last")).first()
+    ends = (corpus if shards is None else shards).agg(F.min("shard").alias("first"), F.max("shard").alias("last")).first()
     if split == "train" and ends["first"] == ends["last"]:
         raise ValueError("the corpus has a single shard: no training split")
     is_last = F.col("shard") == F.lit(ends["last"])

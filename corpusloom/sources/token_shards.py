@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from corpusloom.functions.fixed_values import (
     SHARD_VERSION,
 )
 from corpusloom.operators.sequences import ordered_concat, shift
-from corpusloom.staging import filesystem, qualified
+from corpusloom.staging import filesystem, fresh_path, qualified, stage
 
 FORMAT = "token_shard"
 HEADER_BYTES = SHARD_HEADER_INTS * 4
@@ -99,6 +100,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.view = options.get("view", "ids")
+        self.ranges = options.get("ranges")
         self.bos_id = int(options.get("bosid", -1))
         self.strict = str(options.get("strict", "true")).lower() == "true"
         # A task reads between these numbers of tokens: long files are cut, short ones share a task.
@@ -106,7 +108,15 @@ class _Reader(DataSourceReader):
         self.least = self.most // 16
 
     def partitions(self):
-        """Byte ranges from the file listing alone; no file is opened on the driver."""
+        """Byte ranges from the file listing alone, or from a list of ranges; no file is opened on the driver."""
+        if self.ranges:
+            system, root = filesystem(self.ranges)
+            listed = ds.dataset(root, filesystem=system, format="parquet").to_table().to_pylist()
+            system, _ = filesystem(self.path)
+            sizes = {f.path: f.size for f in system.get_file_info(sorted({r["path"] for r in listed}))} if listed else {}
+            whole = sorted((r["path"], r["first"], r["last"]) for r in listed)
+            cut = [(p, at, min(at + self.most, b)) for p, a, b in whole for at in range(a, b, self.most)]
+            return [_Ranges([_Range(p, sizes[p], a, b)]) for p, a, b in cut] or [_Ranges([])]
         system, root = filesystem(self.path)
         if system.get_file_info(root).type == fs.FileType.Directory:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
@@ -147,9 +157,13 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{part.path}: {reason}")
             return
         last = min(part.last, int(header[2]))
-        for at in range(part.first, last, CHUNK_TOKENS):
+        # Chunks end at multiples of their size, wherever the range begins.
+        bounds = [part.first, *range((part.first // CHUNK_TOKENS + 1) * CHUNK_TOKENS, last, CHUNK_TOKENS), last]
+        for at, stop in zip(bounds, bounds[1:]):
+            if at >= stop:
+                continue
             file.seek(HEADER_BYTES + 2 * at)
-            ids = np.frombuffer(file.read(2 * (min(at + CHUNK_TOKENS, last) - at)), "<u2")
+            ids = np.frombuffer(file.read(2 * (stop - at)), "<u2")
             columns = {"path": pa.array([part.path]), "start": pa.array([at], pa.int64())}
             if self.view == "bos":
                 spots = np.flatnonzero(ids == self.bos_id) + at
@@ -300,6 +314,46 @@ def shard_documents(index: DataFrame, block_tokens: int = 1 << 23) -> DataFrame:
     )
 
 
+def read_token_ranges(spark: SparkSession, path: str, ranges: DataFrame, strict: bool = True) -> DataFrame:
+    """Chunks ``(path, start, ids)`` of token ranges ``(path, first, last)``, a task for each; nothing else is read.
+
+    ``ranges`` is a list the planner holds, one row for a stretch of a file.
+    """
+    register(spark)
+    listed = fresh_path(spark, "ranges")
+    ranges.select("path", "first", "last").coalesce(1).write.parquet(listed)
+    reader = spark.read.format(FORMAT).option("ranges", qualified(spark, listed)).option("strict", str(strict).lower())
+    return reader.load(qualified(spark, path))
+
+
+def skip_list(spark: SparkSession, path: str, bos_id: int) -> DataFrame:
+    """The BOS index of the files under ``path``, kept beside them and read from there from then on.
+
+    ``(path, start, n_tokens, bos)`` as ``read_bos_index`` gives it; the list is some bytes per document, where
+    the files have two per token.  It is written once and not refreshed: files are taken to be final.
+    """
+    kept = f"{path.rstrip('/')}/_bos_{bos_id}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+        stage(read_bos_index(spark, path, bos_id), "bos", kept)
+    return spark.read.schema(BOS_SCHEMA).parquet(kept)
+
+
+def batch_rows_of(
+    spark: SparkSession, path: str, plan: DataFrame, docs: DataFrame, seq_len: int, first_batch: int, last_batch: int
+) -> DataFrame:
+    """Training rows of the batches ``first_batch`` to ``last_batch`` of each shard, seeking to their bytes.
+
+    ``plan`` and ``docs`` come from the skip list.  A shard's batches lie side by side, so one stretch per shard is read.
+    """
+    wanted = stage(plan.where(F.col("batch_id").between(first_batch, last_batch)), "wanted")
+    at = docs.select("shard", "ord", F.col("row_index").alias("at"))
+    spans = wanted.join(at, ["shard", "ord"]).groupBy(F.col("shard").alias("path")).agg(
+        F.min("at").alias("first"), F.max(F.col("at") + F.col("end") - F.col("start")).alias("last")
+    )
+    return packed_shard_rows(wanted, docs, read_token_ranges(spark, path, spans), seq_len)
+
+
 def packed_shard_rows(plan: DataFrame, docs: DataFrame, chunks: DataFrame, seq_len: int) -> DataFrame:
     """Training rows of a packing plan over token shards, sliced from the chunks they touch.
 

@@ -233,3 +233,47 @@ def test_corpus_files(spark, tmp_path):
     assert (totals.successful, totals.total) == (3, 5)
     pruned = docs.select("text")._jdf.queryExecution().executedPlan().toString()
     assert "other" not in pruned
+
+
+def test_log_folded_in_pieces_is_that_of_the_whole(spark, tmp_path):
+    """Late, early, repeated and unusable lines over several micro-batches and a restart."""
+    from corpusloom.operators import runlog
+    from corpusloom.streaming.runlog import follow_log, folded_rows
+
+    nan = float("nan")
+    schema = "run long, step long, loss double, val_bpb double, dt double"
+    lines = [(r, s, float(s * r % 7), (None, nan, 9.0 - s % 5)[(s + r) % 3], 0.5 * s) for r in (1, 2) for s in range(30)]
+    lines += [(3, s, nan if s == 4 else float("inf") if s == 2 else 1.0, None, None) for s in range(6)]
+    whole = spark.createDataFrame(lines, schema)
+    mixed = sorted(lines, key=lambda line: (line[1] * 7 + line[0]) % 11)
+    log, sink = f"{tmp_path}/log", f"{tmp_path}/sink"
+    for part in range(4):
+        rows = mixed[part * 20 : part * 20 + 20] + mixed[:3]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
+        follow_log(stream, sink).awaitTermination()
+    expected = runlog.training_time(runlog.running_best(runlog.debiased_ema(whole)))
+
+    def shown(rows):
+        return sorted((r.run, r.step, str(round(r.debiased, 9)), r.best, round(r.total_time, 9)) for r in rows.collect())
+
+    assert len(mixed) <= 80 and shown(folded_rows(spark, sink)) == shown(expected)
+
+
+def test_many_keys_are_found_in_one_pass(spark):
+    from corpusloom.operators import reports
+
+    keys = ["ab", "b", "", "abc", "b", "zz"] + [f"k{i}" for i in range(5000)]
+    lines = [(1, 0, "xabc: 1"), (1, 1, None), (1, 2, "b: 2 : 3"), (2, 0, "k12 k4999"), (2, 1, "")]
+    df = spark.createDataFrame(lines, "run long, line_no int, line string")
+    got = {(r.run, r.key): r.value for r in reports.extract_many(df, keys, ["run"]).collect()}
+    wanted = {}
+    for run, _, line in lines:
+        for key in keys if line is not None else []:
+            if key in line:
+                wanted[run, key] = line.split(":")[1].strip() if ":" in line else None
+    assert got == wanted
+    first = df.select("line", reports.first_key(spark, F.col("line"), ["zz", "b", "abc", "k4999"]).alias("at")).collect()
+    assert [r.at for r in first] == [1, None, 1, 3, None]
+    with pytest.raises(ValueError):
+        reports.key_matcher(spark, ["x" * 70_000_000])

@@ -230,3 +230,40 @@ def test_decayed_sum_keeps_nan(spark):
     df = spark.createDataFrame(list(enumerate(values)), "p bigint, v double").withColumn("k", F.lit(1))
     got = decayed_sum(df, ["k"], "p", "v", 0.9, "d").filter(~F.isnan("d")).collect()
     assert [r.p for r in got] == [0]
+
+
+def test_sought_batches_read_only_their_bytes(spark, tmp_path):
+    """Token files are spoilt outside the wanted stretches; the batches still equal those of the whole files."""
+    from corpusloom.operators import packing, sequences
+    from corpusloom.sources import token_shards as ts
+
+    docs = [(i, [9] + [(7 * i + j) % 9 for j in range(3 + i % 11)]) for i in range(400)]
+    pos, rows = 0, []
+    for _, ids in docs:
+        rows.append((pos, ids))
+        pos += len(ids)
+    path = ts.write_token_shards(spark.createDataFrame(rows, "start_pos long, ids array<int>"), f"{tmp_path}/files", 1500)
+    index = ts.skip_list(spark, path, 9)
+    found = sequences.token_offsets(ts.shard_documents(index))
+    plan = packing.pack_plan(found, 2, 20)
+    whole = ts.packed_shard_rows(plan, found, ts.read_token_shards(spark, path), 20).where("batch_id between 4 and 6")
+
+    def shown(rows):
+        return sorted((r.shard, r.batch_id, r.row_in_batch, list(r.inputs), list(r.targets)) for r in rows.collect())
+
+    expected = shown(whole)
+    at = found.select("shard", "ord", F.col("row_index").alias("at"))
+    spans = plan.where("batch_id between 4 and 6").join(at, ["shard", "ord"]).groupBy("shard").agg(
+        F.min("at").alias("a"), F.max(F.col("at") + F.col("end") - F.col("start")).alias("b")
+    )
+    for r in spans.collect():
+        file = r.shard.removeprefix("file:")
+        raw = np.fromfile(file, np.uint16)
+        head = ts.HEADER_BYTES // 2
+        raw[head : head + r.a] = 4
+        raw[head + r.b :] = 4
+        raw.tofile(file)
+    again = ts.skip_list(spark, path, 9)
+    assert again.count() == index.count()
+    got = ts.batch_rows_of(spark, path, plan, found, 20, 4, 6)
+    assert expected and shown(got) == expected
