@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.running import with_position
-from corpusloom.operators.sequences import ordered_concat, shift
+from corpusloom.operators.sequences import ordered_concat, shift, token_offsets
 from corpusloom.staging import stage
 
 _MAP = "shard string, node long, entry long, leave long, n_rows long"
@@ -248,6 +248,17 @@ def packed_rows(plan: DataFrame, docs: DataFrame, seq_len: int) -> DataFrame:
     return rows.select("shard", "batch_id", "row_in_batch", inputs.alias("inputs"), targets.alias("targets"))
 
 
+def packed(encoded: DataFrame, batch_rows: int, seq_len: int) -> DataFrame:
+    """Plan and rows of a table of encoded documents ``(shard, row_index, ids, n)``.
+
+    Positions and plan are made from lengths alone; ids move with the join and the grouping of ``packed_rows`` only.
+    """
+    places = stage(token_offsets(encoded.select("shard", "row_index", "n")), "positions")
+    plan = pack_plan(places, batch_rows, seq_len).join(places.select("shard", "ord", "row_index"), ["shard", "ord"])
+    plan = stage(plan.drop("ord").withColumnRenamed("row_index", "ord"), "plan")
+    return packed_rows(plan, encoded.select("shard", F.col("row_index").alias("ord"), "ids"), seq_len)
+
+
 def packing_audit(offsets: DataFrame, plan: DataFrame) -> DataFrame:
     """Per shard: documents, tokens, and what became of the tokens."""
     whole = offsets.groupBy("shard").agg(

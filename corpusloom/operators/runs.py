@@ -139,6 +139,11 @@ def _cut(batch_rows: int, seq_len: int) -> Callable[[Iterator[pa.RecordBatch]],
     return cut
 
 
+def positions(placed: DataFrame) -> DataFrame:
+    """``(start_pos, n, ids)`` of the documents that have tokens; nothing is shuffled."""
+    return _located(placed, run_starts(placed))
+
+
 def _located(placed: DataFrame, starts: DataFrame) -> DataFrame:
     # One row per run: the planner sees the table's size and sends it to the tasks while it is small.
     return placed.where("n > 0").join(starts, "run").select((F.col("run_start") + F.col("run_pos")).alias("start_pos"), "n", "ids")

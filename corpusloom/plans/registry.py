@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.codec import encode_corpus
-from corpusloom.operators.packing import pack_plan, packed_rows
-from corpusloom.operators.sequences import token_offsets
+from corpusloom.operators.packing import packed
 from corpusloom.plans import conversations, corpus, evaluation, reports, runlog, sequences, tokens
 
 from corpusloom.plans.tables import spread_documents, tokenizer
@@ -28,6 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stage(
         encoded.select("shard", "row_index", "ids", F.size("ids").cast("bigint").alias("n")), "encoded"
     )
-    stream = token_offsets(docs)
-    plan = pack_plan(stream, sequences.B, FLAGSHIP_LENGTH)
-    return packed_rows(plan, stream, FLAGSHIP_LENGTH)
+    return packed(docs, sequences.B, FLAGSHIP_LENGTH)

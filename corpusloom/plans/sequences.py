@@ -28,11 +28,6 @@ def _token_docs(spark, sf_dir):
     return docs.withColumn("n", F.size("ids").cast("bigint"))
 
 
-def _token_stream(spark, sf_dir):
-    """Encoded documents in stream order; the corpus is encoded once, into a table."""
-    return sequences.token_offsets(stage(_token_docs(spark, sf_dir), "encoded"))
-
-
 def _shown(rows, *key):
     return rows.select(*key, joined(F.col("inputs")).alias("inputs"), joined(F.col("targets")).alias("targets"))
 
@@ -91,8 +86,7 @@ def bos_pack_batch(spark, sf_dir):
 
 
 def packed_sequences(spark, sf_dir):
-    docs = _token_stream(spark, sf_dir)
-    rows = packing.packed_rows(packing.pack_plan(docs, B, T), docs, T)
+    rows = packing.packed(stage(_token_docs(spark, sf_dir), "encoded"), B, T)
     return _shown(rows, "shard", "batch_id", "row_in_batch")
 
 
@@ -102,7 +96,8 @@ def packing_audit(spark, sf_dir):
 
 
 def _token_files(spark, sf_dir):
-    stream = _token_stream(spark, sf_dir).select("start_pos", "ids")
+    placed = runs.in_runs(documents(spark, sf_dir), lambda text: with_ends(byte_ids(text), prepend=BOS))
+    stream = runs.positions(placed).select("start_pos", "ids")
     path = token_shards.write_token_shards(stream, fresh_path(spark, "tokens"), FILE_TOKENS)
     return path
 
@@ -132,7 +127,7 @@ def token_shard_batches(spark, sf_dir):
     path = _token_files(spark, sf_dir)
     index = stage(token_shards.read_bos_index(spark, path, BOS), "bos")
     docs = stage(sequences.token_offsets(token_shards.shard_documents(index), block_docs=1 << 23), "documents")
-    plan = packing.pack_plan(docs, B, T)
+    plan = stage(packing.pack_plan(docs, B, T), "plan")
     rows = token_shards.packed_shard_rows(plan, docs, token_shards.read_token_shards(spark, path), T)
     return _shown(rows.withColumn("file", _file("shard")), "file", "batch_id", "row_in_batch")
 

@@ -65,8 +65,9 @@ def recorded() -> Iterator[list[str]]:
 
 def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
     """Delete staged tables that ``needed`` does not read; returns those it does."""
-    read = needed.inputFiles()
-    left = [path for path in paths if any(path.split("://")[-1] in file for file in read)]
+    # The last part of a path is unique, however its scheme is written.
+    read = {part for file in needed.inputFiles() for part in file.split("/")}
+    left = [path for path in paths if path.rsplit("/", 1)[-1] in read]
     for path in paths:
         if path not in left:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
