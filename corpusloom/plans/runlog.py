@@ -203,6 +203,19 @@ def snapshot_latest(spark, sf_dir):
     return snapshots.latest_step(snapshots.save_gate(_steps(spark, sf_dir), SAVE_EVERY))
 
 
+def snapshot_extra_fields(spark, sf_dir):
+    """Fields that no schema lists, at both levels, through two writes and reads of the files."""
+    kept = _steps_kept(spark, sf_dir)
+    config = F.struct((F.col("run") % 7 + 1).cast("bigint").alias("n_layer"), (F.col("step") * 2).alias("rope_base"))
+    optimizer = F.struct(F.lit("muon").alias("kind"), F.array(F.col("step"), F.col("run")).alias("groups"))
+    extra = F.struct("step", "val_bpb", config.alias("model_config"), optimizer.alias("optimizer"))
+    path = run_metadata.write_run_metadata(kept.select("run", "step", extra.alias("extra")), fresh_path(spark, "metadata"))
+    records = run_metadata.read_run_records(spark, path).select("run", F.col("dir_step").alias("step"), F.col("record").alias("extra"))
+    again = run_metadata.read_run_records(spark, run_metadata.write_run_metadata(records, fresh_path(spark, "metadata")))
+    found = run_metadata.unknown_fields(again)
+    return found.select(F.col("run").cast("bigint").alias("run"), F.col("dir_step").alias("step"), "path", F.to_json("value").alias("value"))
+
+
 def _catalog(spark, sf_dir):
     """Metadata of every kept snapshot, written as JSON files and read back beside all kept steps.
 
@@ -266,6 +279,7 @@ QUERIES = {
         snapshot_latest,
         run_catalog,
         snapshot_metadata,
+        snapshot_extra_fields,
     )
 }
 
@@ -393,6 +407,12 @@ with {_LOG}, saved as ({_SAVED}) select run, max(step) as latest_step from saved
 select run, step, case when step % 15 <> 0 then val_bpb end as val_bpb, case when step % 15 <> 0 then c::bigint end as n_embd,
   case when step % 15 <> 0 then total end as num_params, case when step % 15 <> 0 then step * {TOTAL_BATCH} end as total_tokens
 from sized""",
+    "snapshot_extra_fields": f"""
+{_CATALOG}
+select run, step, path, value from (
+  select run, step, ['model_config.rope_base', 'optimizer'] as paths,
+    [(step * 2)::varchar, '{{"groups":[' || step || ',' || run || '],"kind":"muon"}}'] as vals from sized)
+  s, lateral (select unnest(s.paths) as path, unnest(s.vals) as value) t""",
     "snapshot_metadata": f"""
 {_CATALOG}
 select run, step, case when step % 15 = 0 then '{{}}' else

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -17,6 +17,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from pyspark.sql.types import DataType, StructType
+
 from corpusloom.staging import filesystem, qualified
 
 CONFIG_FIELDS = ("sequence_len", "vocab_size", "n_layer", "n_head", "n_kv_head", "n_embd")
@@ -98,6 +100,50 @@ def read_run_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCH
     return texts.select("run", "dir_step", extra.alias("extra"))
 
 
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, dir_step, record VARIANT)``: whole records, fields of no schema included; NULL if a text is no JSON.
+
+    Bare NaN and infinities, which JSON does not have, are read as null.
+    """
+    spark.dataSource.register(RunMetadataSource)
+    texts = spark.read.format("run_metadata").load(qualified(spark, path))
+    plain = F.regexp_replace("text", r"(?<=[:\[,])\s*(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
+    record = F.coalesce(F.try_parse_json(F.col("text")), F.try_parse_json(plain))
+    return texts.select("run", "dir_step", record.alias("record"))
+
+
+def known_fields(records: DataFrame, schema: str = METADATA_SCHEMA) -> DataFrame:
+    """``record`` shredded into the typed struct ``extra``; a field that is missing or of another type is NULL."""
+    wanted = StructType.fromDDL(schema)
+
+    def shred(path: str, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.struct(*[shred(f"{path}.{f.name}", f.dataType).alias(f.name) for f in kind.fields])
+        return F.try_variant_get("record", path, kind.simpleString())
+
+    fields = [shred(f"$.{f.name}", f.dataType).alias(f.name) for f in wanted.fields]
+    return records.withColumn("extra", F.when(F.col("record").isNotNull(), F.struct(*fields)))
+
+
+def unknown_fields(records: DataFrame, schema: str = METADATA_SCHEMA) -> DataFrame:
+    """``(run, dir_step, path, value VARIANT)``: the fields of records that ``schema`` does not list, at any depth it has."""
+
+    def below(rows: DataFrame, prefix: str, kind: StructType) -> DataFrame:
+        spark = rows.sparkSession
+        fields = rows.lateralJoin(spark.tvf.variant_explode(F.col("_at").outer()))
+        strangers = fields.where(~F.col("key").isin([f.name for f in kind.fields])).select(
+            "run", "dir_step", F.concat(F.lit(prefix), "key").alias("path"), "value"
+        )
+        for f in kind.fields:
+            if isinstance(f.dataType, StructType):
+                inner = fields.where(F.col("key") == f.name).select("run", "dir_step", F.col("value").alias("_at"))
+                strangers = strangers.unionByName(below(inner, f"{prefix}{f.name}.", f.dataType))
+        return strangers
+
+    whole = records.where("record is not null").select("run", "dir_step", F.col("record").alias("_at"))
+    return below(whole, "", StructType.fromDDL(schema))
+
+
 def run_catalog(steps: DataFrame, metadata: DataFrame) -> DataFrame:
     """Every saved step with its metadata; an empty record when none was written."""
     found = metadata.withColumnRenamed("dir_step", "step")
@@ -112,6 +158,7 @@ def metadata_json(catalog: DataFrame) -> DataFrame:
 def write_run_metadata(records: DataFrame, path: str) -> str:
     """Write ``(run, step, extra)`` as ``<path>/<run>/<step>/_metadata.json``."""
     records.sparkSession.dataSource.register(RunMetadataSource)
+    # A struct or a VARIANT.
     texts = records.select(
         F.col("run").cast("string").alias("run"), F.col("step").cast("bigint").alias("dir_step"), F.to_json("extra").alias("text")
     )

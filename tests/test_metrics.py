@@ -277,3 +277,25 @@ def test_many_keys_are_found_in_one_pass(spark):
     assert [r.at for r in first] == [1, None, 1, 3, None]
     with pytest.raises(ValueError):
         reports.key_matcher(spark, ["x" * 70_000_000])
+
+
+def test_records_keep_fields_that_no_schema_lists(spark, tmp_path):
+    texts = {
+        "1": '{"step": 5, "val_bpb": NaN, "model_config": {"n_layer": 4, "extra": {"a": [1, 2.5]}}, "note": "a:NaN,b"}',
+        "2": '{"step": "late", "num_params": 7}', "3": "no json", "4": "{}",
+    }
+    for run, text in texts.items():
+        folder = tmp_path / run / "10"
+        folder.mkdir(parents=True)
+        (folder / "_metadata.json").write_text(text)
+    records = run_metadata.read_run_records(spark, str(tmp_path))
+    shredded = {r.run: r.extra for r in run_metadata.known_fields(records).collect()}
+    assert shredded["3"] is None and shredded["1"].step == 5 and shredded["1"].model_config.n_layer == 4
+    assert shredded["1"].val_bpb is None and shredded["2"].step is None and shredded["2"].num_params == 7
+    unknown = run_metadata.unknown_fields(records).select("run", "path", F.to_json("value").alias("value")).collect()
+    assert {(r.run, r.path) for r in unknown} == {("1", "model_config.extra"), ("1", "note")}
+    assert json.loads(next(r.value for r in unknown if r.path == "model_config.extra")) == {"a": [1, 2.5]}
+    written = records.where("record is not null").select("run", F.col("dir_step").alias("step"), F.col("record").alias("extra"))
+    path = run_metadata.write_run_metadata(written, f"{tmp_path}/again")
+    again = {r.run: json.loads(r.j) for r in run_metadata.read_run_records(spark, path).select("run", F.to_json("record").alias("j")).collect()}
+    assert again["1"]["model_config"] == {"n_layer": 4, "extra": {"a": [1, 2.5]}} and again["2"] == {"step": "late", "num_params": 7}
