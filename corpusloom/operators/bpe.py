@@ -183,6 +183,13 @@ def _apply(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n bigint").where(F.length("word") > 1)
 
 
+def _folded(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """As ``_apply`` for few merges of most words: a fold that stays in the JVM."""
+    steps = F.split(F.lit(",".join("".join(map(symbol_char, m)) for m in merges)), ",")
+    now = F.aggregate(steps, F.col("word"), lambda w, m: F.replace(w, F.substring(m, 1, 2), F.substring(m, 3, 1)))
+    return words.select(now.alias("word"), "n").where(F.length("word") > 1)
+
+
 def _count_changes(found: DataFrame, done: list[tuple[int, int, int]], batch: list[tuple[int, int, int]], seams: list[str]) -> DataFrame:
     """``(pair, n)``: how ``batch`` changes pair counts in words as they stand before ``done``.
 
@@ -241,7 +248,21 @@ def learn_merges(
     slots = [[fresh_path(spark, label) for _ in range(2)] for label in ("words", "index")]
     words = stage(spread(first.filter(F.length("word") > 1)), "words", slots[0][0])
     merges: list[tuple[int, int]] = []
-    epoch_size, epochs = FIRST_EPOCH, 0
+    # The first merges touch most words: for them pairs are counted anew and no index is read.
+    turn = 0
+    while len(merges) < min(n_merges, FIRST_EPOCH):
+        top = pair_counts(words).orderBy(F.desc("n"), "pair").limit(look_at).collect()
+        batch = exact_batch([(*_pair_of(r["pair"]), r["n"]) for r in top])[: n_merges - len(merges)]
+        if not batch:
+            return merges
+        numbered = [(left, right, BYTES + len(merges) + k) for k, (left, right) in enumerate(batch)]
+        merges += batch
+        if len(merges) < n_merges:
+            turn += 1
+            words = stage(_folded(words, numbered), "words", slots[0][turn % 2])
+    if len(merges) >= n_merges:
+        return merges
+    epoch_size, epochs = FIRST_EPOCH, turn
     while True:
         held = pair_counts(words).orderBy(F.desc("n"), "pair").limit(held_pairs).collect()
         counts = {_pair_of(r["pair"]): r["n"] for r in held}
