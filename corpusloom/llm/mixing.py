@@ -6,9 +6,10 @@ fractional copies exchange words: one gains what the other loses, in a random di
 keep each expectation, until one of them is whole.  The mixed words of a source therefore stay at
 its target but for the last document left.
 
-The exchange runs in blocks of about ``BLOCK`` documents.  Every block leaves at most one document
-undecided; those are the documents of the next level, up to one block per source.  A source of any
-size is spread over its blocks.
+The exchange runs in blocks of ``BLOCK`` documents: the rows of a source are numbered in the order of a
+hash, and consecutive numbers are a block, so that equal rows never make a block larger.  Every block
+leaves at most one document undecided; those are the documents of the next level, up to one block per
+source.  A source of any size is spread over its blocks.
 """
 
 from __future__ import annotations
@@ -85,8 +86,9 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SEE
     """``(doc_id, size, source_size, target, taken, copies)`` of every row.
 
     ``size`` is the number of words of the text (null: 0), ``taken`` the words the mix takes from
-    the row, repeats counted, at most three times its size.  Draws depend on the seed, the id, the
-    size and a checksum of the text only, so reruns agree.  Documents without words take nothing.  Repeated
+    the row, repeats counted, at most three times its size.  Draws depend on the seed and the place of
+    the row among its source's, which follows from ids, sizes and checksums of the texts, so reruns agree.
+    Documents without words take nothing.  Repeated
     rows are rounded separately; null ids are ids like any other; a null source is a source.  An
     empty table gives no rows.  ``keep`` names further columns to carry.
     """
@@ -102,24 +104,30 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SEE
         ),
         "sizes",
     )
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    # Equal rows may change places; a number of their own keeps them from being one range.
+    numbered = rows.withColumn("_own", F.monotonically_increasing_id())
+    order = [F.col("source").isNull(), F.col("source"), F.xxhash64(F.lit(seed), "doc_id", "_crc", "size"), F.col("doc_id"), F.col("_own")]
+    rows = with_global_position(numbered, order, "_at").drop("_own")
+    totals = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
     targets = source_targets(totals.select("source", "source_size"))
     shares = stage(
-        targets.join(totals.select(F.col("source").alias("_s"), "_n"), F.expr("source <=> _s")).select(
-            F.col("source").alias("_source"), "source_size", "target",
+        targets.join(totals.select(F.col("source").alias("_s"), "_n", "_first"), F.expr("source <=> _s")).select(
+            F.col("source").alias("_source"), "source_size", "target", "_first",
             F.expr("if(source_size > 0, target / source_size, 0D)").alias("_rate"),
             F.ceil(F.col("_n") / block).cast("bigint").alias("_blocks"),
         ),
         "targets",
     )
     joined = rows.join(shares, F.expr("source <=> _source")).withColumn("_whole", F.floor("_rate"))
-    draw = _uniform(F.lit(seed), "doc_id", "size", "_crc")
+    draw = _uniform(F.lit(seed), "_source", F.col("_at") - F.col("_first"))
     unit = F.struct(
-        (-F.col("size")).alias("_order"), F.xxhash64(F.lit(seed), "doc_id", "_crc").alias("_tie"), "doc_id", "size", "_whole",
+        (-F.col("size")).alias("_order"), F.col("_at").alias("_tie"), "doc_id", "size", "_whole",
         (F.col("_rate") - F.col("_whole")).alias("p"), draw.alias("u"), *[f"_keep_{c}" for c in keep],
     )
     # Large documents first, so that the one left over is small.
-    grouped = joined.withColumn("_block", F.pmod(F.xxhash64("doc_id", "_crc", "size"), "_blocks")).groupBy(
+    grouped = joined.withColumn("_block", F.expr(f"(_at - _first) div {block}")).groupBy(
         "_source", "_block", "source_size", "target", "_blocks"
     ).agg(F.sort_array(F.collect_list(unit)).alias("_docs"))
     with_units = grouped.withColumn(
