@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-# Digits of the longest run that is searched for cards as a whole.
-RUN = 120
+# Groups of a run of digits that are searched for cards in one step; a card may reach into the next.
+STEP = 128
+# Blanks that may stand between the groups of a card: the plain one, no-break, figure, thin and narrow ones.
+_BLANK = r"[ \u00a0\u2007\u2009\u202f]"
+_SEPARATOR = r"[ \u00a0\u2007\u2009\u202f-]"
 # Alternatives in order of preference; a digit or letter may not continue on either side.
 _EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
 # Lengths of the registered countries: what follows such an account is no part of it.  Others take the general form.
@@ -46,8 +49,10 @@ _SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
-# A run of digits may hold more than a card; it ends before a blank that opens one of the forms above.
-_CARD = rf"\d(?:(?: (?!(?:{_DATE}|{_SSN}|{_IPV4}|{_PHONE})(?![A-Za-z0-9]))|-)?\d){{12,{RUN - 1}}}"
+# A run of digits, of any length, may hold more than a card; it ends before a blank that opens one of the forms above.
+# Some part from its start on must have the digits of a card; the run itself is taken without backtracking, group by group.
+_NEXT = rf"(?:{_BLANK}(?!(?:{_DATE}|{_SSN}|{_IPV4}|{_PHONE})(?![A-Za-z0-9]))|-)"
+_CARD = rf"(?=\d(?:{_NEXT}?\d){{12,119}}(?![A-Za-z0-9]))\d++(?:{_NEXT}\d++(?![A-Za-z]))*+"
 PATTERN = (
     rf"(?<![A-Za-z0-9._%+-]){_EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{_NATIONAL})(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_IBAN}(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9.+-])(?:{_DATE})(?![A-Za-z0-9]|[./-]\d)|(?<![A-Za-z0-9.+-]){_SSN}(?![A-Za-z0-9]|-\d)"
@@ -205,7 +210,7 @@ def _card(v: Column, key: str) -> Column:
 
 
 # Groups of digits that a part of a run must have to count as a card of its own; the whole run may have any.
-_GROUPED = r"^\d{3,}(?:[ -]\d{3,})*(?:[ -]\d{1,2})?$"
+_GROUPED = rf"^\d{{3,}}(?:{_SEPARATOR}\d{{3,}})*(?:{_SEPARATOR}\d{{1,2}})?$"
 
 
 def _cards(v: Column, key: str) -> Column:
@@ -214,11 +219,11 @@ def _cards(v: Column, key: str) -> Column:
     From left to right the longest valid part from each group on is taken; a part that starts with the
     run may have groups of any length.
     """
-    groups = F.regexp_extract_all(v, F.lit(r"\d+[ -]?"), F.lit(0))
+    groups = F.regexp_extract_all(v, F.lit(rf"\d+{_SEPARATOR}?"), F.lit(0))
 
     def cut(parts: Column) -> Column:
         def part(start: Column, count: Column) -> Column:
-            return F.regexp_replace(F.array_join(F.slice(parts, start, count), ""), "[ -]$", "")
+            return F.regexp_replace(F.array_join(F.slice(parts, start, count), ""), f"{_SEPARATOR}$", "")
 
         def step(acc: Column, at: Column) -> Column:
             def longest(counts: Column) -> Column:
@@ -228,17 +233,25 @@ def _cards(v: Column, key: str) -> Column:
             most = F.least(F.lit(19), F.size(parts) - at + 1)
 
             def taken(n: Column) -> Column:
-                text = F.when(n > 0, F.concat(_card(part(at, n), key), F.regexp_extract(F.element_at(parts, at + n - 1), "[ -]?$", 0)))
+                text = F.when(n > 0, F.concat(_card(part(at, n), key), F.regexp_extract(F.element_at(parts, at + n - 1), f"{_SEPARATOR}?$", 0)))
                 return F.struct(
                     F.concat(acc["s"], text.otherwise(F.element_at(parts, at))).alias("s"), (at + F.greatest(n, F.lit(1))).alias("next")
                 )
 
             return F.when(at < acc["next"], acc).otherwise(_let(longest(F.sequence(F.lit(1), most)), taken))
 
-        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("next"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), start, step, lambda acc: acc["s"])
+        # Texts of steps are kept apart until the end, so that a run of any length is copied once.
+        def block(acc: Column, b: Column) -> Column:
+            first = b * STEP + 1
+            places = F.sequence(first, F.least(first + (STEP - 1), F.size(parts)))
+            inner = F.aggregate(places, F.struct(F.lit("").alias("s"), acc["next"].alias("next")), step)
+            return _let(inner, lambda x: F.struct(F.concat(acc["s"], F.array(x["s"])).alias("s"), x["next"].alias("next")))
 
-    several = v.rlike("[ -]")
+        start = F.struct(F.array().cast("array<string>").alias("s"), F.lit(1).alias("next"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / F.lit(STEP)).cast("int"))
+        return F.aggregate(blocks, start, block, lambda acc: F.array_join(acc["s"], ""))
+
+    several = v.rlike(_SEPARATOR)
     return F.when(_valid_card(_digits(v)), _card(v, key)).when(several & (F.length(_digits(v)) > 13), _let(groups, cut)).otherwise(v)
 
 
