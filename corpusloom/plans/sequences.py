@@ -144,7 +144,7 @@ def token_shard_seek(spark, sf_dir):
 
 def streaming_batches(spark, sf_dir):
     sink = fresh_path(spark, "streamed")
-    stream = read_corpus_stream(spark, sf_dir, name_filter="documents.parquet")
+    stream = read_corpus_stream(spark, f"{sf_dir}/documents.parquet")
     cut_stream(stream, sink, byte_ids, BOS, B, T).awaitTermination()
     return _shown(cut_rows(spark, sink), "batch_id", "row_in_batch")
 

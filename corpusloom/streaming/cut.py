@@ -26,7 +26,14 @@ STATE_SCHEMA = "next_batch bigint, ids array<int>"
 def read_corpus_stream(
     spark: SparkSession, path: str, *, files_per_trigger: int | None = None, name_filter: str = "*.parquet"
 ) -> DataFrame:
-    """Streaming ``(shard, row_index, text)``; files arrive in the order they were written."""
+    """Streaming ``(shard, row_index, text)``; files arrive in the order they were written.
+
+    ``path`` is a folder of corpus files, or one file: Spark streams folders only, so of a file's folder it alone is read.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(hadoop_path) and system.getFileStatus(hadoop_path).isFile():
+        path, name_filter = hadoop_path.getParent().toString(), hadoop_path.getName()
     reader = spark.readStream.schema("text string").option("pathGlobFilter", name_filter)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -3,12 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import byte_ids
 from corpusloom.operators import packing, sequences
 from corpusloom.operators.running import decayed_sum, with_position, with_running
+from corpusloom.plans.sequences import streaming_batches
 from corpusloom.sources import token_shards
 from corpusloom.streaming.cut import cut_rows, cut_stream, read_corpus_stream
 
@@ -200,6 +203,20 @@ def test_streaming_carries_left_over_tokens(spark, tmp_path):
     assert sorted((r.batch_id, r.row_in_batch, r.inputs, r.targets) for r in rows) == stream_rows(tokens, B, T)
 
 
+def test_streaming_reads_a_table_of_one_file_or_many(spark, tmp_path):
+    texts = [f"document {i} " + "word " * 3 * i for i in range(100)]
+    rows = []
+    for name, parts in (("file", 1), ("folder", 3)):
+        path = tmp_path / name / "documents.parquet"
+        (path.parent if parts == 1 else path).mkdir(parents=True)
+        for k in range(parts):
+            at = range(100 * k // parts, 100 * (k + 1) // parts)
+            table = pa.table({"doc_id": list(at), "text": [texts[i] for i in at]})
+            pq.write_table(table, path if parts == 1 else path / f"part-{k:04d}.parquet")
+        rows.append(sorted(map(tuple, streaming_batches(spark, str(tmp_path / name)).collect())))
+    assert len(rows[0]) > 4 and rows[0] == rows[1]
+
+
 @pytest.mark.parametrize("block", [1, 4, 1000])
 def test_running_totals(spark, block):
     rng = random.Random(9)
