@@ -1,7 +1,7 @@
 """Training rows cut where the documents lie.
 
 A *run* is a stretch of the token stream that one task holds in order: a range partition of the
-corpus, or a row group.  A run's place in the stream is the number of tokens before it, one number
+corpus, or consecutive row groups.  A run's place in the stream is the number of tokens before it, one number
 per run.  Each task cuts the rows that lie inside its stretch; only the fragments at its two ends, each
 shorter than a row, are exchanged and put together.  Token arrays cross no shuffle otherwise.
 """
@@ -25,12 +25,16 @@ BATCH_TOKENS = 1 << 20
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add ``run_pos``, the number of tokens before a document in the task; the task is one run."""
-    before = 0
+    """Add ``run_pos``, the number of tokens before a document in the task; the task is one run, named by its first row."""
+    before, run = 0, None
     for batch in batches:
         n = batch.column(batch.schema.get_field_index("n")).to_numpy()
         ends = before + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], [*batch.schema.names, "run_pos"])
+        place = batch.schema.get_field_index("run")
+        run = batch.column(place)[0].as_py() if run is None and len(n) else run
+        columns = [*batch.columns, pa.array(ends - n)]
+        columns[place] = pa.array(np.full(len(n), run or 0), pa.int64())
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "run_pos"])
         before = int(ends[-1]) if len(ends) else before
 
 
@@ -38,8 +42,8 @@ def in_runs(texts: DataFrame, encode: Callable[[Column], Column], *keep: str) ->
     """Encoded documents ``(run, run_pos, n, ids, *keep)`` as a table in the order of the stream.
 
     ``texts`` is ``(shard, row_index, text, ...)``.  It is range-partitioned before it is encoded, so text and no
-    ids is shuffled; with a ``run`` column, as row groups are read, its rows are taken to be in order and nothing is
-    shuffled.
+    ids is shuffled; with a ``run`` column, as row groups are read, its rows are taken to be in order, runs that one task
+    holds become one, and nothing is shuffled.
     """
     if "run" not in texts.columns:
         ordered = texts.repartitionByRange("shard", "row_index").sortWithinPartitions("shard", "row_index")

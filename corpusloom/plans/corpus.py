@@ -19,8 +19,8 @@ GROUP_ROWS, BATCH_ROWS, WORLD, WANTED = 16, 8, 4, 25
 FILE_ROWS = 1000
 # Training rows of a lane: rows a batch, tokens a row.
 LANE_ROWS, LANE_TOKENS = 2, 1024
-# Streamed lanes, how often each reads its groups, and groups of a micro-batch.
-LANES, EPOCHS, GROUPS_A_TRIGGER = 2, 2, 24
+# Streamed lanes, how often each reads its groups, groups of a micro-batch, and bytes it may grow to while there is more to read.
+LANES, EPOCHS, GROUPS_A_TRIGGER, CATCH_UP = 2, 2, 24, 256 << 20
 
 
 def corpus_scan(spark, sf_dir):
@@ -88,15 +88,20 @@ def rank_batches(spark, sf_dir):
 def lane_stream(spark, sf_dir):
     """Training rows of two lanes that read their row groups ``EPOCHS`` times over, as a stream in micro-batches."""
     path = _grouped_files(spark, sf_dir, "text")
-    found = None
+    running = []
     for rank in range(LANES):
-        sink = fresh_path(spark, "lane")
-        lane = stream_groups(rank_groups(spark, path, rank, LANES), f"{sink}/progress/at", GROUPS_A_TRIGGER, epochs=EPOCHS)
-        query = cut_lane(lane, sink, byte_ids, BOS, LANE_ROWS, LANE_TOKENS)
-        query.processAllAvailable()
-        query.stop()
-        rows = cut_rows(spark, sink).withColumn("rank", F.lit(rank))
-        found = rows if found is None else found.unionByName(rows)
+        sink, groups = fresh_path(spark, "lane"), rank_groups(spark, path, rank, LANES)
+        lane = stream_groups(groups, f"{sink}/progress/at", GROUPS_A_TRIGGER, epochs=EPOCHS, catch_up=CATCH_UP)
+        running.append((rank, sink, cut_lane(lane, sink, byte_ids, BOS, LANE_ROWS, LANE_TOKENS)))
+    found = None
+    try:
+        for rank, sink, query in running:
+            query.processAllAvailable()
+            rows = cut_rows(spark, sink).withColumn("rank", F.lit(rank))
+            found = rows if found is None else found.unionByName(rows)
+    finally:
+        for _, _, query in running:
+            query.stop()
     return found.select("rank", "batch_id", "row_in_batch", joined(F.col("inputs")).alias("inputs"), joined(F.col("targets")).alias("targets"))
 
 

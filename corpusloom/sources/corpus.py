@@ -70,8 +70,9 @@ def read_split(corpus: DataFrame, split: str, shards: DataFrame | None = None) -
 
 
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Row groups of every Parquet file under ``path``: ``(file, row_group, first_row, n_rows)``.
+    """Row groups of every Parquet file under ``path``: ``(file, row_group, first_row, n_rows, n_bytes)``.
 
+    ``n_bytes`` is the size of all columns before compression.
     The driver lists the files; tasks read the footers and nothing else.
     """
     files = (
@@ -88,13 +89,17 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
                 system, root = filesystem(location)
                 with system.open_input_file(root) as opened:
                     footer = pq.read_metadata(opened)
-                rows = np.array([footer.row_group(i).num_rows for i in range(footer.num_row_groups)], np.int64)
+                groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+                rows = np.array([g.num_rows for g in groups], np.int64)
                 yield pa.record_batch(
-                    [pa.array([file] * len(rows)), np.arange(len(rows)), np.cumsum(rows) - rows, rows],
-                    ["file", "row_group", "first_row", "n_rows"],
+                    [
+                        pa.array([file] * len(rows)), np.arange(len(rows)), np.cumsum(rows) - rows, rows,
+                        np.array([g.total_byte_size for g in groups], np.int64),
+                    ],
+                    ["file", "row_group", "first_row", "n_rows", "n_bytes"],
                 )
 
-    return files.mapInArrow(footers, "file string, row_group bigint, first_row bigint, n_rows bigint")
+    return files.mapInArrow(footers, "file string, row_group bigint, first_row bigint, n_rows bigint, n_bytes bigint")
 
 
 def with_row_group(rows: DataFrame, groups: DataFrame) -> DataFrame:

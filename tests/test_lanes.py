@@ -120,3 +120,29 @@ def test_lanes_stream_epochs_over_a_restart(spark, corpus, tmp_path):
 
 def test_groups_of_an_empty_list_are_no_rows(spark, corpus):
     assert read_groups(rank_groups(spark, corpus[0], 0, 1).limit(0)).count() == 0
+
+
+def test_small_groups_share_tasks(spark, tmp_path):
+    """Tasks follow the bytes and not the number of groups; order and places stay."""
+    texts = [f"text {i}" for i in range(4000)]
+    for f in range(2):
+        pq.write_table(pa.table({"text": texts[2000 * f : 2000 * f + 2000]}), tmp_path / f"shard_{f:05d}.parquet", row_group_size=2)
+    rows = read_rank_groups(spark, str(tmp_path), 0, 2)
+    assert 8 <= rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    found = rows.collect()
+    assert [r.text for r in sorted(found, key=lambda r: (r.run, r.row_index))] == [t for i, t in enumerate(texts) if i % 2000 // 2 % 2 == 0]
+    assert all(r.row_index // 2 == r.row_group and r.run == r.row_group // 2 + 500 * ("00001" in r.file) for r in found)
+    assert shown(cut_runs(in_runs(rows, encode), B, T)) == cut([t for i, t in enumerate(texts) if i % 2000 // 2 % 2 == 0])
+
+
+def test_lane_with_many_groups_catches_up(spark, corpus, tmp_path):
+    path, files = corpus
+    sink = str(tmp_path / "lane")
+    lane = stream_groups(rank_groups(spark, path, 0, 1), f"{sink}/progress/at", 1, epochs=3, catch_up=1 << 20)
+    query = cut_lane(lane, sink, byte_ids, BOS, B, T)
+    query.processAllAvailable()
+    batches = query.lastProgress["batchId"]
+    query.stop()
+    assert shown(cut_rows(spark, sink)) == cut(lane_texts(files, 0, 1) * 3)
+    groups = sum(-(-len(texts) // 3) for texts in files)
+    assert 3 * groups > 40 and 3 <= batches <= 8
