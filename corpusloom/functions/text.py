@@ -26,16 +26,35 @@ def byte_chars(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
+# Bytes of text, or pieces, that a task turns into ids at a time: an Arrow batch holds up to 64 MB, and its ids are several times as large.
+SLICE_BYTES, SLICE_PIECES = 2 << 20, 1 << 18
+
+
+def slices(array: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive slices of an array of texts or lists with up to ``most`` bytes or items each; a single larger row is one slice."""
+    if not len(array):
+        yield array
+        return
+    kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_list(array.type) else np.int32
+    ends = np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1]
+    at = 0
+    while at < len(array):
+        stop = max(int(np.searchsorted(ends, int(ends[at]) + most, side="right")) - 1, at + 1)
+        yield array.slice(at, stop - at)
+        at = stop
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _byte_ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
-        raw = column.cast(pa.large_binary())
-        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        data = raw.buffers()[2]
-        values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        values = values[offsets[0] : offsets[-1]].astype(np.int32)
-        ends = pa.array((offsets - offsets[0]).astype(np.int32))
-        yield pa.ListArray.from_arrays(ends, pa.array(values), mask=raw.is_null())
+        for part in slices(column, SLICE_BYTES):
+            raw = part.cast(pa.large_binary())
+            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = raw.buffers()[2]
+            values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            values = values[offsets[0] : offsets[-1]].astype(np.int32)
+            ends = pa.array((offsets - offsets[0]).astype(np.int32))
+            yield pa.ListArray.from_arrays(ends, pa.array(values), mask=raw.is_null())
 
 
 def byte_ids(text: Column) -> Column:

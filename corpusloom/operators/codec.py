@@ -1,7 +1,7 @@
 """Encoding and decoding with a vocabulary table.
 
 Encoding is narrow: the JVM cuts text into pieces, a task encodes each distinct piece of an Arrow
-batch once and gathers ids with NumPy.  No piece is shuffled, so frequent pieces cost nothing
+batch's slice once and gathers ids with NumPy.  No piece is shuffled, so frequent pieces cost nothing
 extra.  The broadcast vocabulary is checked against a limit in bytes.
 """
 
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.fixed_values import SPLIT_PATTERN
-from corpusloom.functions.text import byte_ids, pretokens
+from corpusloom.functions.text import SLICE_PIECES, byte_ids, pretokens, slices
 
-# Distinct pieces a task remembers between Arrow batches.
-MEMO_PIECES = 1_000_000
+# Distinct pieces a task remembers, and the longest of them in characters.
+MEMO_PIECES, MEMO_CHARS = 1 << 17, 64
 
 
 # Largest vocabulary that is sent to tasks, in bytes: its tokens and 16 bytes for each.
@@ -96,6 +96,36 @@ def piece_encoder(rows: list, merges: list | None) -> Callable[[str], list[int]]
     return encode
 
 
+def encoded(batches: Iterator[pa.Array], encode: Callable[[str], list[int]]) -> Iterator[pa.Array]:
+    """Ids of lists of pieces, ``SLICE_PIECES`` pieces at a time."""
+    memo: dict[str, bytes] = {}
+
+    def ids_of(word: str) -> bytes:
+        found = memo.get(word)
+        if found is None:
+            found = np.array(encode(word), np.int32).tobytes()
+            if len(word) <= MEMO_CHARS:
+                if len(memo) >= MEMO_PIECES:
+                    memo.clear()
+                memo[word] = found
+        return found
+
+    for batch in batches:
+        for pieces in slices(batch, SLICE_PIECES):
+            distinct = pieces.flatten().dictionary_encode()
+            words = [ids_of(w) for w in distinct.dictionary.to_pylist()]
+            lengths = np.array([len(w) for w in words], np.int64) // 4
+            starts = np.cumsum(lengths) - lengths
+            which = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = lengths[which] if len(which) else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            gather = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], counts)
+            values = np.frombuffer(b"".join(words), np.int32)[gather]
+            offsets = pieces.offsets.to_numpy()
+            bounds = ends[offsets - offsets[0]].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(values), mask=pieces.is_null())
+
+
 def encoder(
     vocab: DataFrame, merges: DataFrame | None = None, pattern: str = SPLIT_PATTERN
 ) -> Callable[[Column], Column]:
@@ -108,27 +138,7 @@ def encoder(
 
     @F.arrow_udf("array<int>")
     def encode_pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = piece_encoder(*shared.value)
-        memo: dict[str, np.ndarray] = {}
-        for pieces in batches:
-            distinct = pieces.flatten().dictionary_encode()
-            words = distinct.dictionary.to_pylist()
-            if len(memo) + len(words) > MEMO_PIECES:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = np.array(encode(w), np.int32)
-            arrays = [memo[w] for w in words] or [np.zeros(0, np.int32)]
-            lengths = np.array([len(a) for a in arrays], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            which = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = lengths[which] if len(which) else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            gather = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], counts)
-            values = np.concatenate(arrays)[gather].astype(np.int32)
-            offsets = pieces.offsets.to_numpy()
-            bounds = ends[offsets - offsets[0]].astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(values), mask=pieces.is_null())
+        yield from encoded(batches, piece_encoder(*shared.value))
 
     return lambda text: encode_pieces(pretokens(text, pattern))
 

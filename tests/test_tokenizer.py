@@ -1,8 +1,10 @@
 """Pre-tokens, training, encoding and decoding against independent statements of the rules."""
 
 import base64
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers, trainers
 
 from corpusloom.functions.fixed_values import SPECIAL_TOKENS, SPLIT_PATTERN
+from corpusloom.functions import text as text_functions
 from corpusloom.functions.text import byte_ids, pretokens
 from corpusloom.operators import bpe, codec
 from corpusloom.sources.vocab_store import import_ranks, import_tokenizer_json, load_tokenizer, save_tokenizer
@@ -264,3 +267,22 @@ def test_lookups(spark, tmp_path):
     again, again_merges, pattern, layout = load_tokenizer(spark, str(tmp_path / "t"))
     assert sorted(map(repr, again.collect())) == sorted(map(repr, vocab.collect()))
     assert again_merges.count() == merges.count() and pattern == SPLIT_PATTERN and layout == "rank"
+
+
+def test_ids_are_made_a_slice_at_a_time():
+    """A batch's ids are several times as large as the batch: neither they nor what finds them is held whole."""
+    texts = pa.array(["", None, "y" * 3_000_000, *["x" * 1000] * 8000])
+    parts = list(text_functions._byte_ids.func(iter([texts.slice(1)])))
+    assert max(len(p.values) for p in parts) <= 3_000_000 and sum(map(len, parts)) == len(texts) - 1
+    assert parts[0][0].as_py() is None and sum(len(p.values) for p in parts) == 11_000_000
+    pieces = pa.array([None, [], *[["ab", "c", f"d{i}"] * 500 for i in range(1500)]])
+    tracemalloc.start()
+    at = 0
+    for found in codec.encoded(iter([pieces]), lambda w: [ord(c) for c in w]):
+        for i in range(0, len(found), 100):
+            own = pieces[at + i].as_py()
+            assert found[i].as_py() == (None if own is None else [ord(c) for w in own for c in w])
+        at += len(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == len(pieces) and peak < 64 << 20
