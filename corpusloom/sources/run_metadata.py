@@ -19,7 +19,7 @@ from pyspark.sql.datasource import (
 
 from pyspark.sql.types import DataType, StructType
 
-from corpusloom.staging import filesystem, qualified
+from corpusloom.staging import filesystem, qualified, stage
 
 CONFIG_FIELDS = ("sequence_len", "vocab_size", "n_layer", "n_head", "n_kv_head", "n_embd")
 METADATA_SCHEMA = (
@@ -43,34 +43,44 @@ class RunMetadataSource(DataSource):
         return "run string, dir_step bigint, text string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _MetadataReader(self.options["path"])
+        return _MetadataReader(self.options["path"], int(self.options.get("tasks", 32)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _MetadataWriter(self.options["path"])
 
 
 @dataclass
-class _Files(InputPartition):
-    found: list
+class _Folders(InputPartition):
+    """Paths right below the root."""
+
+    held: list
 
 
 class _MetadataReader(DataSourceReader):
+    """The planner lists the folders right below the root; tasks list and read what is in them."""
+
+    # Folders of a task: a task's start takes as long as some hundred files, so their number follows the cores up to the larger one.
+    FOLDERS, MOST_FOLDERS = 16, 8192
     FOLDER = re.compile(r"([^/=]+)/(?:step=)?(\d+)/_metadata\.json$")
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, tasks: int):
+        self.path, self.tasks = path, tasks
 
     def partitions(self):
         system, root = filesystem(self.path)
-        files = system.get_file_info(fs.FileSelector(root, recursive=True))
-        found = [(m.group(1), int(m.group(2)), f.path) for f in files if (m := self.FOLDER.search(f.path))]
-        return [_Files(found[i : i + 64]) for i in range(0, len(found), 64)] or [_Files([])]
+        held = [f.path for f in system.get_file_info(fs.FileSelector(root))]
+        each = min(max(self.FOLDERS, -(-len(held) // self.tasks)), self.MOST_FOLDERS)
+        return [_Folders(held[i : i + each]) for i in range(0, len(held), each)] or [_Folders([])]
 
-    def read(self, part: _Files) -> Iterator[tuple]:
+    def read(self, part: _Folders) -> Iterator[tuple]:
         system, _ = filesystem(self.path)
-        for run, step, path in part.found:
-            with system.open_input_stream(path) as file:
-                yield run, step, file.read().decode("utf-8")
+        for path in part.held:
+            found = system.get_file_info(path)
+            files = system.get_file_info(fs.FileSelector(path, recursive=True)) if found.type == fs.FileType.Directory else [found]
+            for f in files:
+                if m := self.FOLDER.search(f.path):
+                    with system.open_input_stream(f.path) as file:
+                        yield m.group(1), int(m.group(2)), file.read().decode("utf-8")
 
 
 class _MetadataWriter(DataSourceWriter):
@@ -89,13 +99,18 @@ class _MetadataWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(RunMetadataSource)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return spark.read.format("run_metadata").option("tasks", tasks).load(qualified(spark, path))
+
+
 def read_run_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
     """``(run, dir_step, extra STRUCT)`` from ``<path>/<run>/<step>/_metadata.json``.
 
     Folder names may be plain or ``name=value``.
     """
-    spark.dataSource.register(RunMetadataSource)
-    texts = spark.read.format("run_metadata").load(qualified(spark, path))
+    texts = _texts(spark, path)
     extra = F.from_json("text", schema, {"allowNonNumericNumbers": "true"})
     return texts.select("run", "dir_step", extra.alias("extra"))
 
@@ -105,8 +120,7 @@ def read_run_records(spark: SparkSession, path: str) -> DataFrame:
 
     Bare NaN and infinities, which JSON does not have, are read as null.
     """
-    spark.dataSource.register(RunMetadataSource)
-    texts = spark.read.format("run_metadata").load(qualified(spark, path))
+    texts = _texts(spark, path)
     plain = F.regexp_replace("text", r"(?<=[:\[,])\s*(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
     record = F.coalesce(F.try_parse_json(F.col("text")), F.try_parse_json(plain))
     return texts.select("run", "dir_step", record.alias("record"))
@@ -140,7 +154,8 @@ def unknown_fields(records: DataFrame, schema: str = METADATA_SCHEMA) -> DataFra
                 strangers = strangers.unionByName(below(inner, f"{prefix}{f.name}.", f.dataType))
         return strangers
 
-    whole = records.where("record is not null").select("run", "dir_step", F.col("record").alias("_at"))
+    # Every level reads the records again, and each is a file.
+    whole = stage(records.where("record is not null").select("run", "dir_step", F.col("record").alias("_at")), "records")
     return below(whole, "", StructType.fromDDL(schema))
 
 
@@ -162,5 +177,7 @@ def write_run_metadata(records: DataFrame, path: str) -> str:
     texts = records.select(
         F.col("run").cast("string").alias("run"), F.col("step").cast("bigint").alias("dir_step"), F.to_json("extra").alias("text")
     )
-    texts.write.format("run_metadata").mode("append").save(qualified(records.sparkSession, path))
+    # Rows are short and files are slow: without a number of tasks the planner would put all of them into a few.
+    spread = texts.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "run", "dir_step")
+    spread.write.format("run_metadata").mode("append").save(qualified(records.sparkSession, path))
     return path

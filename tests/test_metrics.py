@@ -299,3 +299,43 @@ def test_records_keep_fields_that_no_schema_lists(spark, tmp_path):
     path = run_metadata.write_run_metadata(written, f"{tmp_path}/again")
     again = {r.run: json.loads(r.j) for r in run_metadata.read_run_records(spark, path).select("run", F.to_json("record").alias("j")).collect()}
     assert again["1"]["model_config"] == {"n_layer": 4, "extra": {"a": [1, 2.5]}} and again["2"] == {"step": "late", "num_params": 7}
+
+
+def test_metadata_files_share_tasks(spark, tmp_path):
+    """Reading and writing use all cores, and tasks do not grow with the number of files; any depth is found."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import run_metadata
+
+    cores = spark.sparkContext.defaultParallelism
+    steps = spark.range(0, 3000, 1, 1).select((F.col("id") % 1000).alias("run"), (F.expr("id div 1000") * 5).alias("step"))
+    records = steps.withColumn("extra", F.struct("step", F.struct("run").alias("model_config"), F.col("run").alias("more")))
+    path = run_metadata.write_run_metadata(records, str(tmp_path / "runs"))
+    found = run_metadata.read_run_records(spark, path)
+    assert found.rdd.getNumPartitions() <= 4 * cores
+    unknown = run_metadata.unknown_fields(found)
+    got = sorted((int(r.run), r.dir_step, r.path, int(r.v)) for r in unknown.select("*", F.to_json("value").alias("v")).collect())
+    assert got == sorted((r, s, p, r) for r in range(1000) for s in (0, 5, 10) for p in ("model_config.run", "more"))
+    deep = tmp_path / "deep" / "a" / "b" / "run_7" / "step=15"
+    deep.mkdir(parents=True)
+    (deep / "_metadata.json").write_text('{"step": 15}')
+    assert [(r.run, r.dir_step) for r in run_metadata.read_run_records(spark, str(tmp_path / "deep")).collect()] == [("run_7", 15)]
+
+
+def test_folded_rows_of_many_runs_in_mixed_order(spark, tmp_path):
+    """Rows of runs without any usable value, and of lines that come late, as the fold of each run in order."""
+    from corpusloom.streaming.runlog import follow_log, folded_rows
+
+    lines = [(run, step, float(run + step), None if run % 2 else 1.0 / (step + 1), 0.5) for run in range(40) for step in range(14)]
+    schema = "run bigint, step bigint, loss double, val_bpb double, dt double"
+    for part in (lines[1::2], lines[::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    follow_log(stream, str(tmp_path / "out")).awaitTermination()
+    rows = {(r.run, r.step): r for r in folded_rows(spark, str(tmp_path / "out")).collect()}
+    assert len(rows) == len(lines)
+    for run, step, _, val, _ in lines:
+        r = rows[run, step]
+        assert r.best == val and abs(r.total_time - 0.5 * max(0, step - 10)) < 1e-9
+        sums = sum((0.9 ** (step - i)) * 0.1 * (run + i) for i in range(step + 1))
+        assert abs(r.debiased - sums / (1 - 0.9 ** (step + 1))) < 1e-6
