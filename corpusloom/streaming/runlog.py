@@ -49,7 +49,8 @@ def _fold(beta: float):
         state.update((at, decayed, best, total, json.dumps([[step, *line] for step, line in lines.items()])))
         if rows:
             # A frame a run: of whole columns, which takes a fraction of the time of one of rows.
-            kinds = (np.int64, np.int64, np.float64, np.float64, np.float64)
+            # A run may be NULL, which is no integer.
+            kinds = (None, np.int64, np.float64, np.float64, np.float64)
             yield pd.DataFrame({name: np.array(column, kind) for name, column, kind in zip(NAMES, zip(*rows), kinds)}, copy=False)
 
     return fold

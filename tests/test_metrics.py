@@ -327,6 +327,7 @@ def test_folded_rows_of_many_runs_in_mixed_order(spark, tmp_path):
     from corpusloom.streaming.runlog import follow_log, folded_rows
 
     lines = [(run, step, float(run + step), None if run % 2 else 1.0 / (step + 1), 0.5) for run in range(40) for step in range(14)]
+    lines += [(None, step, 1.0, 2.0, 0.5) for step in range(14)]
     schema = "run bigint, step bigint, loss double, val_bpb double, dt double"
     for part in (lines[1::2], lines[::2]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -337,5 +338,5 @@ def test_folded_rows_of_many_runs_in_mixed_order(spark, tmp_path):
     for run, step, _, val, _ in lines:
         r = rows[run, step]
         assert r.best == val and abs(r.total_time - 0.5 * max(0, step - 10)) < 1e-9
-        sums = sum((0.9 ** (step - i)) * 0.1 * (run + i) for i in range(step + 1))
+        sums = sum((0.9 ** (step - i)) * 0.1 * (1 if run is None else run + i) for i in range(step + 1))
         assert abs(r.debiased - sums / (1 - 0.9 ** (step + 1))) < 1e-6
