@@ -199,21 +199,26 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
     Groups are the components of documents whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, found and checked as ``minhash`` describes.  Texts with equal words are one node.  Null texts
-    are empty, and empty texts are one group.  A null id stays only if its group has no other; of
+    of 0.8 or more.  Candidates are texts whose fingerprints are linked, directly or through others, within ``RADIUS``
+    bits, and texts that share a MinHash key; ``minhash`` checks them on the whole sets.  Texts with equal words are one
+    node.  Null texts are empty, and empty texts are one group.  A null id stays only if its group has no other; of
     equal rows one stays.  All columns are kept.
     """
     keyed = rows.nested(docs, id=F.col("doc_id"), body=F.coalesce(F.col(text), F.lit("")))
     who = F.struct(F.col("id").isNull().alias("none"), "id", "key_a", "key_b")
-    marked = keyed.select(who.alias("who"), minhash.marks(F.col("body")).alias("m"))
-    # Equal nodes have equal keys.
-    smallest = stage(marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys")), "nodes")
-    met = minhash.candidates(smallest.select("node", "keys"))
-    asked = smallest.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.key_a", "least.key_b")
+    marked = keyed.select(who.alias("who"), minhash.marks(F.col("body")).alias("m"), simhash_of(F.col("body")).alias("fp"))
+    # Equal nodes have equal keys and fingerprints.
+    nodes = marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys"), F.min("fp").alias("fp"))
+    nodes = stage(nodes, "nodes")
+    # Linked fingerprints have one root, which is one more key.
+    near = components(near_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    smallest = nodes.join(near, "fp", "left").withColumn("near", F.xxhash64(F.coalesce("root", "fp")))
+    met = minhash.candidates(smallest.select("node", F.concat("keys", F.array("near")).alias("keys")))
+    asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.key_a", "least.key_b")
     texts = keyed.select("key_a", "key_b", "body").join(stage(asked, "asked"), ["key_a", "key_b"]).dropDuplicates(["node"])
     sets = stage(texts.select("node", minhash.sets_of(F.col("body")).alias("set")), "sets")
     root = minhash.alike_components(met, sets)
-    grouped = smallest.select("node", "least").join(root, "node", "left")
+    grouped = nodes.select("node", "least").join(root, "node", "left")
     kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("who"))
     kept = stage(kept.select("who.key_a", "who.key_b"), "kept")
     # Equal rows have equal keys; the join has put them into one partition.

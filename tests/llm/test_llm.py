@@ -213,6 +213,18 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()) == [1, 4]
 
 
+def test_linked_fingerprints_are_candidates_without_minhash_keys(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    text = [f"v{x}" for x in rng.integers(0, 10**6, 2000)]
+    changed = (" ".join([*text[:i], "changed", *text[i + 1 :]]) for i in range(100, 2000, 50))
+    near = next(t for t in changed if 0 < (simhash.simhash(t) ^ simhash.simhash(" ".join(text))).bit_count() <= simhash.RADIUS)
+    rows = [(1, " ".join(text), "en", "a"), (2, near, "en", "a"), (3, " ".join(reversed(text)), "en", "a"), (4, None, "en", "a"), (5, " ", "en", "a")]
+    found = minhash.candidates
+    beyond = F.slice("keys", minhash.BANDS + 1, 1).alias("keys")
+    monkeypatch.setattr(minhash, "candidates", lambda nodes: found(nodes.select("node", beyond)))
+    assert sorted(r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()) == [1, 3, 4]
+
+
 def test_hash_words_by_content():
     words = pa.array(["a", "b", "ab", "ba", "", "x" * 70, "y" + "x" * 69, "a"])
     h = arrays.hash_words(words)
