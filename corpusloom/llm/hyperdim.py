@@ -24,6 +24,8 @@ from corpusloom.llm.arrays import code_points, slices_by_bytes
 DIMENSIONS, SEED = 1024, 7
 # Bytes of text that become one dense block of trigram counts.
 BLOCK_BYTES = 256 << 10
+# Trigrams are cut from this many bytes of text at a time: they take some fifty times as many bytes.
+GRAM_BYTES = 512 << 10
 # Bound trigram vectors a task remembers (a cache).
 MEMO_GRAMS = 40_000
 UNDETERMINED = "und"
@@ -69,14 +71,15 @@ class GramVectors:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
-        self.rows = np.zeros((1024, dimensions), np.float32)
+        # Entries are +1 and -1; rows not used yet take no memory.
+        self.rows = np.zeros((MEMO_GRAMS, dimensions), np.int8)
 
     def _letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
             if len(self.letters) > 20_000:
                 self.letters.clear()
             draw = np.random.default_rng([self.seed, point]).integers(0, 2, self.dimensions)
-            self.letters[point] = (2 * draw - 1).astype(np.float32)
+            self.letters[point] = (2 * draw - 1).astype(np.int8)
         return self.letters[point]
 
     def bind(self, key: int) -> np.ndarray:
@@ -87,15 +90,13 @@ class GramVectors:
         if len(self.place) + len(keys) > MEMO_GRAMS:
             self.place.clear()
         if len(keys) > len(self.rows):
-            self.rows = np.zeros((len(keys) + 1024, self.dimensions), np.float32)
+            self.rows = np.zeros((len(keys), self.dimensions), np.int8)
             self.place.clear()
         at = np.zeros(len(keys), np.int64)
         for i, key in enumerate(keys.tolist()):
             p = self.place.get(key)
             if p is None:
                 p = self.place[key] = len(self.place)
-                if p >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 self.rows[p] = self.bind(key)
             at[i] = p
         return self.rows[at]
@@ -114,7 +115,7 @@ def profiles(texts: list[str], vectors: GramVectors, columns: int = 4096) -> np.
         n = min(columns, len(distinct) - start)
         inside = slice(None) if n == len(distinct) else (which >= start) & (which < start + n)
         counts = np.bincount(owner[inside] * n + which[inside] - start, minlength=len(texts) * n)
-        out += counts.reshape(len(texts), n).astype(np.float32) @ vectors.of(distinct[start : start + n])
+        out += counts.reshape(len(texts), n).astype(np.float32) @ vectors.of(distinct[start : start + n]).astype(np.float32)
     return out
 
 
@@ -122,24 +123,29 @@ def gram_counts(labelled: DataFrame, label: str, text: str) -> DataFrame:
     """``(label, gram, n)`` over all rows; a task sums its texts before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], int] = {}
+        held: list[pa.Table] = []
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            names, grams = zip(*held) if held else ((), ())
-            arrays = [pa.array(names, pa.string()), pa.array(grams, pa.int64()), pa.array(list(held.values()), pa.int64())]
-            return pa.record_batch(arrays, ["label", "gram", "n"])
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["label", "gram"]).aggregate([("n", "sum")])
+            return pa.table({"label": found["label"], "gram": found["gram"], "n": found["n_sum"]})
 
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for name in pc.unique(names).to_pylist():
-                for part in slices_by_bytes(texts.filter(pc.equal(names, name))):
+                for part in slices_by_bytes(texts.filter(pc.equal(names, name)), GRAM_BYTES):
                     found = pc.value_counts(pa.array(grams_of(part.to_pylist())[0]))
-                    for gram, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
-                        held[name, gram] = held.get((name, gram), 0) + n
-            if len(held) > 500_000:
-                yield flush()
-                held.clear()
-        yield flush()
+                    label = pa.array([name], pa.string()).take(pa.array(np.zeros(len(found), np.int64)))
+                    held.append(pa.table({"label": label, "gram": found.field(0), "n": found.field(1)}))
+                    size += len(found)
+                    if size > 500_000:
+                        held = [summed()]
+                        size = len(held[0])
+                        if size > 400_000:  # mostly different ones: they go on as they are
+                            yield from held[0].to_batches(1 << 16)
+                            held, size = [], 0
+        if held:
+            yield from summed().to_batches(1 << 16)
 
     rows = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"))
     counted = rows.mapInArrow(count, "label string, gram bigint, n bigint")

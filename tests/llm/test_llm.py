@@ -235,6 +235,23 @@ def test_profiles_of_texts_without_letters_are_empty():
     assert not hyperdim.profiles(["12 !", ""], hyperdim.GramVectors()).any()
 
 
+def test_gram_vectors_take_a_byte_an_entry():
+    vectors = hyperdim.GramVectors()
+    keys = np.arange(1, 6001, dtype=np.int64) * 7919 + (97 << 42) + (98 << 21)
+    assert (vectors.of(keys)[[5, 4000]] == np.array([vectors.bind(int(keys[i])) for i in (5, 4000)])).all()
+    assert vectors.rows.nbytes <= hyperdim.MEMO_GRAMS * hyperdim.DIMENSIONS
+
+
+def test_gram_counts_are_those_of_brute_force(spark):
+    rows = [("en", "The cat, the CAT"), ("en", "x" * 5), ("fr", "le chat"), ("fr", ""), ("de", "12 !")] * 3
+    wanted = {}
+    for label, t in rows:
+        for key in hyperdim.grams_of([t])[0].tolist():
+            wanted[label, key] = wanted.get((label, key), 0) + 1
+    got = hyperdim.gram_counts(spark.createDataFrame(rows, "label string, text string"), "label", "text").collect()
+    assert {(r.label, r.gram): r.n for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_only_leaking_rows_go_whatever_their_ids(spark, tmp_path):
     rng = np.random.default_rng(4)
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
