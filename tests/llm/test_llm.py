@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import arrays, chaining, components, feistel, hyperdim, latent, minhash, mixing, shards, simhash, syncmers
+from corpusloom.llm import arrays, attention, chaining, components, feistel, hyperdim, latent, minhash, mixing, shards, simhash, syncmers
 from corpusloom.llm.queries import QUERIES
 from tests.conftest import SF_DIR
 
@@ -204,6 +204,14 @@ def test_repeated_passages(spark):
     assert chaining.chains(a, b)[0] == [0, 1, 2]
 
 
+def test_scores_do_not_depend_on_how_blocks_are_cut(spark, folders, monkeypatch):
+    name = next(n for n in QUERIES if n.startswith("op5"))
+    shown = lambda: sorted(str((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), f"{r.score:.5g}")) for r in QUERIES[name](spark, folders[0]).collect())
+    whole = shown()
+    monkeypatch.setattr(attention, "PART_BYTES", 20)
+    assert shown() == whole and len(whole) == len(ODD)
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = np.random.default_rng(2)
     text = [f"v{x}" for x in rng.integers(0, 10**6, 200)]
