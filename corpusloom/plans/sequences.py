@@ -128,7 +128,7 @@ def token_shard_batches(spark, sf_dir):
     index = stage(token_shards.read_bos_index(spark, path, BOS), "bos")
     docs = stage(sequences.token_offsets(token_shards.shard_documents(index), block_docs=1 << 23), "documents")
     plan = stage(packing.pack_plan(docs, B, T), "plan")
-    rows = token_shards.packed_shard_rows(plan, docs, token_shards.read_token_shards(spark, path), T)
+    rows = token_shards.rows_in_chunks(plan, docs, token_shards.read_token_shards(spark, path, beyond=T), T)
     return _shown(rows.withColumn("file", _file("shard")), "file", "batch_id", "row_in_batch")
 
 

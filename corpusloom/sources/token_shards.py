@@ -51,6 +51,8 @@ class _Range:
     size: int
     first: int
     last: int
+    # Tokens up to here may follow a chunk as its look-ahead.
+    end: int
 
 
 @dataclass
@@ -102,6 +104,7 @@ class _Reader(DataSourceReader):
         self.view = options.get("view", "ids")
         self.ranges = options.get("ranges")
         self.bos_id = int(options.get("bosid", -1))
+        self.beyond = int(options.get("beyond", 0))
         self.strict = str(options.get("strict", "true")).lower() == "true"
         # A task reads between these numbers of tokens: long files are cut, short ones share a task.
         self.most = max(int(options.get("tokenspertask", 32 << 20)) // CHUNK_TOKENS, 1) * CHUNK_TOKENS
@@ -115,8 +118,8 @@ class _Reader(DataSourceReader):
             system, _ = filesystem(self.path)
             sizes = {f.path: f.size for f in system.get_file_info(sorted({r["path"] for r in listed}))} if listed else {}
             whole = sorted((r["path"], r["first"], r["last"]) for r in listed)
-            cut = [(p, at, min(at + self.most, b)) for p, a, b in whole for at in range(a, b, self.most)]
-            return [_Ranges([_Range(p, sizes[p], a, b)]) for p, a, b in cut] or [_Ranges([])]
+            cut = [(p, at, min(at + self.most, b), b) for p, a, b in whole for at in range(a, b, self.most)]
+            return [_Ranges([_Range(p, sizes[p], a, b, end)]) for p, a, b, end in cut] or [_Ranges([])]
         system, root = filesystem(self.path)
         if system.get_file_info(root).type == fs.FileType.Directory:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
@@ -129,7 +132,7 @@ class _Reader(DataSourceReader):
             step = tokens if self.view == "headers" else self.most
             for first in range(0, tokens, step):
                 last = min(first + step, tokens)
-                tasks[-1].ranges.append(_Range(path, size, first, last))
+                tasks[-1].ranges.append(_Range(path, size, first, last, tokens))
                 held += 1 if self.view == "headers" else last - first
                 if held >= (256 if self.view == "headers" else self.least):
                     tasks.append(_Ranges([]))
@@ -163,7 +166,8 @@ class _Reader(DataSourceReader):
             if at >= stop:
                 continue
             file.seek(HEADER_BYTES + 2 * at)
-            ids = np.frombuffer(file.read(2 * (stop - at)), "<u2")
+            upto = max(stop, min(stop + self.beyond, part.end, int(header[2])))
+            ids = np.frombuffer(file.read(2 * (upto - at)), "<u2")
             columns = {"path": pa.array([part.path]), "start": pa.array([at], pa.int64())}
             if self.view == "bos":
                 spots = np.flatnonzero(ids == self.bos_id) + at
@@ -232,10 +236,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenShardSource)
 
 
-def read_token_shards(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Chunks ``(path, start, ids)``; ``start`` is a multiple of ``CHUNK_TOKENS``."""
+def read_token_shards(spark: SparkSession, path: str, strict: bool = True, beyond: int = 0) -> DataFrame:
+    """Chunks ``(path, start, ids)``; ``start`` is a multiple of ``CHUNK_TOKENS``.
+
+    A chunk goes on for ``beyond`` tokens of the next ones, as far as the file has them.
+    """
     register(spark)
-    return spark.read.format(FORMAT).option("strict", str(strict).lower()).load(qualified(spark, path))
+    reader = spark.read.format(FORMAT).option("strict", str(strict).lower()).option("beyond", beyond)
+    return reader.load(qualified(spark, path))
 
 
 def shard_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -314,16 +322,17 @@ def shard_documents(index: DataFrame, block_tokens: int = 1 << 23) -> DataFrame:
     )
 
 
-def read_token_ranges(spark: SparkSession, path: str, ranges: DataFrame, strict: bool = True) -> DataFrame:
+def read_token_ranges(spark: SparkSession, path: str, ranges: DataFrame, strict: bool = True, beyond: int = 0) -> DataFrame:
     """Chunks ``(path, start, ids)`` of token ranges ``(path, first, last)``, a task for each; nothing else is read.
 
-    ``ranges`` is a list the planner holds, one row for a stretch of a file.
+    ``ranges`` is a list the planner holds, one row for a stretch of a file.  A chunk goes on for ``beyond`` tokens
+    of the next ones, as far as its range has them.
     """
     register(spark)
     listed = fresh_path(spark, "ranges")
     ranges.select("path", "first", "last").coalesce(1).write.parquet(listed)
     reader = spark.read.format(FORMAT).option("ranges", qualified(spark, listed)).option("strict", str(strict).lower())
-    return reader.load(qualified(spark, path))
+    return reader.option("beyond", beyond).load(qualified(spark, path))
 
 
 def skip_list(spark: SparkSession, path: str, bos_id: int) -> DataFrame:
@@ -351,7 +360,30 @@ def batch_rows_of(
     spans = wanted.join(at, ["shard", "ord"]).groupBy(F.col("shard").alias("path")).agg(
         F.min("at").alias("first"), F.max(F.col("at") + F.col("end") - F.col("start")).alias("last")
     )
-    return packed_shard_rows(wanted, docs, read_token_ranges(spark, path, spans), seq_len)
+    return rows_in_chunks(wanted, docs, read_token_ranges(spark, path, spans, beyond=seq_len), seq_len)
+
+
+def rows_in_chunks(plan: DataFrame, docs: DataFrame, chunks: DataFrame, seq_len: int) -> DataFrame:
+    """Training rows of a packing plan over token shards, each sliced from the one chunk it begins in.
+
+    A row's documents lie side by side in its file, so its first token places all of it.  ``chunks`` go on for ``seq_len``
+    tokens beyond their end, so a chunk holds every row that begins in it and tokens move once, to the join.
+    ``docs`` is ``token_offsets(shard_documents(...))``.
+    """
+    T = int(seq_len)
+    starts = docs.select("shard", "ord", F.col("row_index").alias("low"))
+    low = plan.join(starts, ["shard", "ord"]).groupBy("shard", "batch_id", "row_in_batch").agg(F.min("low").alias("low"))
+    numbered = chunks.select(
+        F.col("path").alias("shard"), F.expr(f"start div {CHUNK_TOKENS}").alias("_chunk"), "start", "ids"
+    )
+    # A range may begin inside a chunk, so two chunks can have one number; only one holds all of the row.
+    found = low.withColumn("_chunk", F.expr(f"low div {CHUNK_TOKENS}")).join(numbered, ["shard", "_chunk"]).where(
+        f"low >= start and low + {T + 1} <= start + size(ids)"
+    )
+    buf = F.slice("ids", (F.col("low") - F.col("start") + 1).cast("int"), T + 1)
+    inputs, targets = shift(F.col("buf"), T)
+    rows = found.select("shard", "batch_id", "row_in_batch", buf.alias("buf"))
+    return rows.select("shard", "batch_id", "row_in_batch", inputs.alias("inputs"), targets.alias("targets"))
 
 
 def packed_shard_rows(plan: DataFrame, docs: DataFrame, chunks: DataFrame, seq_len: int) -> DataFrame:

@@ -284,3 +284,25 @@ def test_sought_batches_read_only_their_bytes(spark, tmp_path):
     assert again.count() == index.count()
     got = ts.batch_rows_of(spark, path, plan, found, 20, 4, 6)
     assert expected and shown(got) == expected
+
+
+def test_rows_come_from_one_chunk_each(spark, tmp_path):
+    """Rows that cross chunk borders too, and tokens are not grouped again after the join."""
+    from corpusloom.operators import packing, sequences
+    from corpusloom.sources import token_shards as ts
+
+    rng = np.random.default_rng(3)
+    for name, n in (("a.bin", 2 * ts.CHUNK_TOKENS + 777), ("b.bin", ts.CHUNK_TOKENS), ("c.bin", 40)):
+        write_bin(tmp_path / name, [int(t) if t < 9 else 9 for t in rng.integers(0, 12, n)])
+    index = ts.read_bos_index(spark, str(tmp_path), 9)
+    docs = sequences.token_offsets(ts.shard_documents(index))
+    plan = packing.pack_plan(docs, 2, 700)
+    whole = ts.packed_shard_rows(plan, docs, ts.read_token_shards(spark, str(tmp_path)), 700)
+    rows = ts.rows_in_chunks(plan, docs, ts.read_token_shards(spark, str(tmp_path), beyond=700), 700)
+
+    def shown(rows):
+        return sorted((r.shard, r.batch_id, r.row_in_batch, list(r.inputs), list(r.targets)) for r in rows.collect())
+
+    expected = shown(whole)
+    assert len(expected) > 250 and shown(rows) == expected
+    assert "collect_list" not in rows._jdf.queryExecution().toString()
