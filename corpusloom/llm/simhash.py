@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import minhash, rows
+from corpusloom.llm.bit_filter import filter_bits, may_hold
 from corpusloom.llm.components import components
 from corpusloom.staging import stage
 
 SHINGLE, RADIUS, TILE = 3, 2, 1024
+# Size of the filters of row keys.  It is fixed: with more keys more rows pass, and the join that follows is exact either way.
+FILTER_BITS = 1 << 26
 _SEED = 42
 
 
@@ -195,6 +198,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
+def _may_be_in(asked: DataFrame) -> Column:
+    """Whether the row with this ``key_a`` may be one of ``asked``."""
+    bits = asked.sparkSession.sparkContext.broadcast(filter_bits(asked.select(F.col("key_a").alias("h")), FILTER_BITS))
+    return may_hold(bits, F.col("key_a"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
@@ -205,22 +214,29 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     equal rows one stays.  All columns are kept.
     """
     keyed = rows.nested(docs, id=F.col("doc_id"), body=F.coalesce(F.col(text), F.lit("")))
-    who = F.struct(F.col("id").isNull().alias("none"), "id", "key_a", "key_b")
+    keys = ["key_a", "key_b"]
+    who = F.struct(F.col("id").isNull().alias("none"), "id", *keys)
     marked = keyed.select(who.alias("who"), minhash.marks(F.col("body")).alias("m"), simhash_of(F.col("body")).alias("fp"))
-    # Equal nodes have equal keys and fingerprints.
+    # Equal digests have equal keys and fingerprints.  A node goes by a number from here on, which moves in fewer bytes.
     nodes = marked.groupBy("m.node").agg(F.min("who").alias("least"), F.min("m.keys").alias("keys"), F.min("fp").alias("fp"))
-    nodes = stage(nodes, "nodes")
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Linked fingerprints have one root, which is one more key.
     near = components(near_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
     smallest = nodes.join(near, "fp", "left").withColumn("near", F.xxhash64(F.coalesce("root", "fp")))
     met = minhash.candidates(smallest.select("node", F.concat("keys", F.array("near")).alias("keys")))
     asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.key_a", "least.key_b")
-    texts = keyed.select("key_a", "key_b", "body").join(stage(asked, "asked"), ["key_a", "key_b"]).dropDuplicates(["node"])
+    asked = stage(asked, "asked")
+    # Only texts that may be asked for are moved to the join.
+    texts = keyed.select(*keys, "body").where(_may_be_in(asked)).join(asked, keys).dropDuplicates(keys)
     sets = stage(texts.select("node", minhash.sets_of(F.col("body")).alias("set")), "sets")
     root = minhash.alike_components(met, sets)
     grouped = nodes.select("node", "least").join(root, "node", "left")
     kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("who"))
     kept = stage(kept.select("who.key_a", "who.key_b"), "kept")
-    # Equal rows have equal keys; the join has put them into one partition.
-    one = keyed.select("row", "key_a", "key_b").join(kept, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"])
-    return one.select("row.*")
+    # Rows that stay and have no equal are told by the filter alone; equal rows have equal keys and meet in the join.
+    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    others = stage(counted.join(kept.withColumn("stays", F.lit(True)), keys, "left").where("stays is null or n > 1").select(*keys), "others")
+    moved = keyed.select("row", *keys)
+    other = _may_be_in(others)
+    one = moved.where(other).join(kept, keys, "left_semi").dropDuplicates(keys)
+    return moved.where(~other).select("row").union(one.select("row")).select("row.*")

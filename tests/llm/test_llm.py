@@ -233,6 +233,23 @@ def test_linked_fingerprints_are_candidates_without_minhash_keys(spark, monkeypa
     assert sorted(r.doc_id for r in simhash.one_of_each(_table(spark, rows)).collect()) == [1, 3, 4]
 
 
+def test_only_texts_with_candidates_and_rows_that_may_go_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(40)]
+    near = " ".join([*texts[3].split()[:-1], "changed"])
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(50, near, "en", "a"), (7, texts[7], "en", "a"), (51, texts[9], "en", "b"), (None, None, None, None)]
+    filters = []
+    made = simhash.filter_bits
+    monkeypatch.setattr(simhash, "filter_bits", lambda *asked: filters.append(made(*asked)) or filters[-1])
+    shown = lambda: sorted(str(r.doc_id) for r in simhash.one_of_each(_table(spark, rows)).collect())
+    wanted = sorted([*map(str, range(40)), "None"])
+    assert shown() == wanted
+    # Asked for are the two texts that are alike; no row but their second, one equal row and one copy may go.
+    assert [int(np.bitwise_count(np.frombuffer(f, np.uint8)).sum()) for f in filters] == [2, 3]
+    monkeypatch.setattr(simhash, "filter_bits", lambda asked, n: b"\xff" * (n // 8))
+    assert shown() == wanted
+
+
 def test_hash_words_by_content():
     words = pa.array(["a", "b", "ab", "ba", "", "x" * 70, "y" + "x" * 69, "a"])
     h = arrays.hash_words(words)
