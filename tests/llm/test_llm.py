@@ -328,6 +328,17 @@ def test_components_do_not_depend_on_the_smallest_of_a_key(spark):
     assert got == {3: 2, 4: 2, 6: 5}
 
 
+def test_nodes_alike_to_the_last_of_a_key_are_linked_before_prefix_pairs(spark, monkeypatch):
+    sets = {1: range(0, 100), 2: range(12, 112), 3: range(24, 124), 4: range(18, 118)}
+    met = spark.createDataFrame([(9, n, 1, 4) for n in sets], "key long, node long, head long, n long")
+    stored = spark.createDataFrame([(n, bytearray(np.array(list(x), np.uint64).tobytes())) for n, x in sets.items()], "node long, set binary")
+    left = []
+    found = minhash.prefix_pairs
+    monkeypatch.setattr(minhash, "prefix_pairs", lambda nodes, sets: left.extend(nodes.collect()) or found(nodes, sets))
+    assert {r.node: r.root for r in minhash.alike_components(met, stored).collect()} == {3: 2, 4: 2}
+    assert {(r.node, r.root) for r in left} == {(1, 1), (2, 2), (3, 2), (4, 2)}
+
+
 def test_prefix_pairs_hold_all_alike_sets_and_few_others(spark):
     rng = np.random.default_rng(9)
     common = rng.integers(-(1 << 62), 1 << 62, 200)
