@@ -204,6 +204,31 @@ def test_repeated_passages(spark):
     assert chaining.chains(a, b)[0] == [0, 1, 2]
 
 
+def test_passages_of_parts_first_seen_in_different_documents(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    pool = [word(int(rng.integers(3, 40))) for _ in range(25)] + [word(1) * 30, word(3) * 12]
+    texts = {i: sum((pool[k] for k in rng.integers(0, len(pool), int(rng.integers(2, 12)))), []) for i in range(100)}
+    x, y = word(30), word(30)
+    texts |= {100: word(9) + x, 101: y + word(9), 102: x + y, 103: word(5) + x + y}
+    got = chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    assert (103, 102) in {(r.doc_id, r.other_id) for r in got}
+    # Texts with 50 equal words are joined by rows that hold these words in both, in steps if not at once.
+    places: dict[tuple, list] = {}
+    for i, w in texts.items():
+        for at in range(len(w) - 49):
+            places.setdefault(tuple(w[at : at + 50]), []).append((i, at))
+    shared = [where for where in places.values() if len({i for i, _ in where}) > 1]
+    assert len(shared) > 200
+    for where in shared:
+        held = lambda i, lo, hi: any(j == i and lo <= at <= hi - 50 for j, at in where)
+        label = {i: i for i, _ in where}
+        for r in got:
+            if held(r.doc_id, r.start, r.stop) and held(r.other_id, r.other_start, r.other_stop):
+                label = {i: label[r.doc_id] if k == label[r.other_id] else k for i, k in label.items()}
+        assert len(set(label.values())) == 1
+
+
 def test_scores_do_not_depend_on_how_blocks_are_cut(spark, folders, monkeypatch):
     name = next(n for n in QUERIES if n.startswith("op5"))
     shown = lambda: sorted(str((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), f"{r.score:.5g}")) for r in QUERIES[name](spark, folders[0]).collect())
