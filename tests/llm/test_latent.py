@@ -70,3 +70,42 @@ def test_edited_copies_are_found(spark):
         spark.createDataFrame(edited, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     )
     assert len(wanted & {(r.doc_id, r.item_id) for r in got.collect()}) >= 0.95 * len(wanted)
+
+
+def test_the_end_of_a_long_item_is_found(spark):
+    """A remainder of under half a passage is searched with the words before it."""
+    rng = np.random.default_rng(5)
+    items = [[f"i{k}w{x}" for x in rng.permutation(70)] for k in range(20)]
+    filler = [[f"f{x}" for x in rng.integers(0, 900, 120)] for _ in items]
+    docs = [(i, " ".join([*f[:60], *item[30:], *f[60:]])) for i, (f, item) in enumerate(zip(filler, items))]
+    got = latent.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"),
+    )
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(20)}
+
+
+def test_the_space_is_fitted_to_all_passages(spark):
+    """Of 3,000 texts every passage counts: the directions are those of a plain SVD over all of them."""
+    rng = np.random.default_rng(6)
+    texts = [[f"w{x}" for x in np.minimum(rng.zipf(1.3, rng.integers(0, 130)), 400)] for _ in range(3000)]
+    items = [[f"w{x}" for x in rng.integers(1, 60, 40)] for _ in range(6)]
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "_body string").repartition(4)
+    asked = spark.createDataFrame([(" ".join(t),) for t in items], "text string")
+    split = latent.word_passages(docs, latent.known_words(asked))
+    frequencies, passages = latent.passage_frequencies(split)
+    blocks = [t[i : i + latent.WINDOW] for t in texts for i in range(0, len(t), latent.WINDOW)]
+    assert passages == len(blocks)
+    idf = np.log((1 + passages) / (1 + frequencies))
+    block = latent.Items.of([(i, t, None) for i, t in enumerate(items)], idf)
+    space = latent.latent_space(split, block, passages, rank=8)
+    place = {w: i for i, w in enumerate(block.parts["names"].to_pylist())}
+    dense = np.zeros((len(blocks) + len(items), len(place)))
+    for row, words in enumerate([*blocks, *items]):
+        for w in words:
+            if w in place:
+                dense[row, place[w]] += block.parts["weights"][place[w]]
+    dense[len(blocks) :] *= np.sqrt(max(latent.ITEM_WEIGHT, latent.ITEM_SHARE * passages))
+    best = np.linalg.svd(dense, full_matrices=False)[2][:8]
+    kept = np.linalg.norm(dense @ space) ** 2 / np.linalg.norm(dense @ best.T) ** 2
+    assert kept > 0.98
