@@ -162,18 +162,31 @@ def cut_runs(
     give the runs' places, as ``run_starts`` does.
     """
     starts = run_starts(placed) if starts is None else starts
+    return rows_of(stage(cut_pieces(placed, starts, batch_rows, seq_len, first_batch=first_batch), "cut"))
+
+
+PIECES = "batch_id bigint, row_in_batch int, at bigint, whole boolean, ids array<int>"
+
+
+def cut_pieces(placed: DataFrame, starts: DataFrame, batch_rows: int, seq_len: int, *, first_batch: int = 0) -> DataFrame:
+    """Rows of full batches as ``PIECES``: a row inside a run is whole, others are what each run has of them from place ``at``."""
     full_rows = full_batches(starts, batch_rows, seq_len) * batch_rows
     located = _located(placed, starts).select("start_pos", "ids")
-    pieces = stage(located.mapInArrow(_cut(batch_rows, seq_len), CUT), "cut").where(F.col("row") < full_rows)
-    inside = pieces.where("whole").select("row", F.col("ids").alias("buf"))
-    ends = pieces.where("not whole").groupBy("row").agg(ordered_concat(F.col("at"), F.col("ids")).alias("buf"))
-    inputs, targets = shift(F.col("buf"), seq_len)
-    return inside.unionByName(ends).select(
+    return located.mapInArrow(_cut(batch_rows, seq_len), CUT).where(F.col("row") < full_rows).select(
         (F.expr(f"row div {batch_rows}") + first_batch).alias("batch_id"), F.expr(f"cast(row % {batch_rows} as int)").alias("row_in_batch"),
-        inputs.alias("inputs"), targets.alias("targets"),
+        "at", "whole", "ids",
     )
 
 
+def rows_of(pieces: DataFrame) -> DataFrame:
+    """``(batch_id, row_in_batch, inputs, targets)`` of a table of ``PIECES``, which is read twice."""
+    key = ["batch_id", "row_in_batch"]
+    inside = pieces.where("whole").select(*key, F.col("ids").alias("buf"))
+    ends = pieces.where("not whole").groupBy(*key).agg(ordered_concat(F.col("at"), F.col("ids")).alias("buf"))
+    inputs, targets = shift(F.col("buf"), F.size("buf") - 1)
+    return inside.unionByName(ends).select(*key, inputs.alias("inputs"), targets.alias("targets"))
+
+
 def full_batches(starts: DataFrame, batch_rows: int, seq_len: int) -> int:
     total = starts.agg(F.coalesce(F.sum("run_tokens"), F.lit(0)).cast("bigint")).first()[0]
     return total // (batch_rows * seq_len + 1)

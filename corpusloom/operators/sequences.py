@@ -66,7 +66,7 @@ def repeat_epochs(offsets: DataFrame, epochs: int) -> DataFrame:
     return each.withColumn("start_pos", F.col("start_pos") + F.col("epoch").cast("bigint") * total)
 
 
-def shift(row: Column, length: int) -> tuple[Column, Column]:
+def shift(row: Column, length: int | Column) -> tuple[Column, Column]:
     """Inputs (all but the last of ``length + 1`` tokens) and targets (all but the first)."""
     return F.slice(row, 1, length), F.slice(row, 2, length).cast("array<bigint>")
 

@@ -1,9 +1,10 @@
 """Training batches from a folder that keeps receiving corpus files.
 
-Each micro-batch is cut in parallel by the batch operators.  What is left over (less than one
+Each micro-batch is cut where its documents lie, as ``operators/runs.py`` does.  What is left over (less than one
 batch of tokens) is one row of a state table; the next micro-batch puts it in front.  Rows and
 state of a micro-batch are written under its number, so repeating it after a failure replaces
-them and no token is lost or used twice.
+them and no token is lost or used twice.  Rows keep each token once; inputs and targets are made when they are read.
+Tables that a micro-batch stages go when it has been written.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.operators.codec import with_ends
-from corpusloom.operators.runs import cut_runs, full_batches, in_runs, left_over, run_starts
-from corpusloom.operators.sequences import ordered_concat, stream_batches, token_offsets
+from corpusloom.operators.runs import PIECES, cut_pieces, full_batches, in_runs, left_over, rows_of, run_starts
 from corpusloom.sources.corpus import row_group
-from corpusloom.staging import stage
+from corpusloom.staging import recorded, release
 
 STATE_SCHEMA = "next_batch bigint, ids array<int>"
 
@@ -47,6 +47,32 @@ def rank_lane(corpus: DataFrame, rank: int, world: int, rows_per_group: int) ->
     return corpus.filter(F.pmod(row_group(rows_per_group), F.lit(world)) == rank)
 
 
+def _cutter(sink: str, encode: Callable[[Column], Column], bos_id: int, batch_rows: int, seq_len: int) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each micro-batch: rows and state are written under its number."""
+
+    def cut(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        with recorded() as paths:
+            texts = batch.filter(F.col("text").isNotNull())
+            placed = in_runs(texts, lambda text: with_ends(encode(text), prepend=bos_id)).select("run", "run_pos", "n", "ids")
+            next_batch = 0
+            if epoch > 0:
+                before = spark.read.schema(STATE_SCHEMA).parquet(f"{sink}/state/epoch={epoch - 1}")
+                next_batch = before.first()["next_batch"]
+                none = F.lit(0).cast("bigint")
+                carried = before.select((none - 1).alias("run"), none.alias("run_pos"), F.size("ids").cast("bigint").alias("n"), "ids")
+                placed = carried.unionByName(placed)
+            starts = run_starts(placed)
+            pieces = cut_pieces(placed, starts, batch_rows, seq_len, first_batch=next_batch)
+            pieces.write.mode("overwrite").parquet(f"{sink}/rows/epoch={epoch}")
+            done = F.lit(next_batch + full_batches(starts, batch_rows, seq_len)).cast("bigint").alias("next_batch")
+            rest = left_over(placed, starts, batch_rows, seq_len)
+            rest.select(done, "ids").write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch}")
+        release(spark, paths)
+
+    return cut
+
+
 def cut_stream(
     corpus: DataFrame,
     sink: str,
@@ -58,45 +84,10 @@ def cut_stream(
     """Start the job and let it use up what is there; rows land in ``<sink>/rows/epoch=N``.
 
     Inside a micro-batch the order is ``(shard, row_index)``; micro-batches follow each other in
-    order of arrival.
+    order of arrival.  Text is what a micro-batch shuffles, once, before it is encoded.
     """
-    span = batch_rows * seq_len + 1
-
-    def cut(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        next_batch, carried = 0, 0
-        before = None
-        if epoch > 0:
-            before = spark.read.schema(STATE_SCHEMA).parquet(f"{sink}/state/epoch={epoch - 1}")
-            state = before.select("next_batch", F.size("ids")).first()
-            next_batch, carried = state[0], state[1]
-        ids = with_ends(encode(F.col("text")), prepend=bos_id)
-        encoded = batch.filter(F.col("text").isNotNull()).select("shard", "row_index", ids.alias("ids"))
-        docs = stage(
-            encoded.withColumn("n", F.size("ids").cast("bigint")), "encoded", f"{sink}/encoded"
-        )
-        stream = token_offsets(docs).select((F.col("start_pos") + carried).alias("start_pos"), "ids")
-        if before is not None:
-            stream = before.select(F.lit(0).cast("bigint").alias("start_pos"), "ids").unionByName(stream)
-        total = carried + (docs.agg(F.sum("n")).first()[0] or 0)
-        full = total // span
-        rows = stream_batches(
-            stream, batch_rows, seq_len, first_batch=next_batch, total=F.lit(total).cast("bigint")
-        )
-        rows.write.mode("overwrite").parquet(f"{sink}/rows/epoch={epoch}")
-
-        used = full * span
-        rest = stream.filter(F.col("start_pos") + F.size("ids") > used).select(
-            "start_pos",
-            F.expr(f"slice(ids, cast(greatest({used} - start_pos, 0) as int) + 1, size(ids))").alias("ids"),
-        )
-        left = rest.agg(ordered_concat(F.col("start_pos"), F.col("ids")).alias("ids"))
-        left.select(F.lit(next_batch + full).cast("bigint").alias("next_batch"), "ids").write.mode(
-            "overwrite"
-        ).parquet(f"{sink}/state/epoch={epoch}")
-
     return (
-        corpus.writeStream.foreachBatch(cut)
+        corpus.writeStream.foreachBatch(_cutter(sink, encode, bos_id, batch_rows, seq_len))
         .option("checkpointLocation", f"{sink}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -112,29 +103,10 @@ def cut_lane(
     batches so far and the rows are written under the micro-batch's number, so a restart repeats or goes on and
     the rows are those of one uninterrupted cut.
     """
-
-    def cut(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        texts = batch.filter(F.col("text").isNotNull())
-        placed = in_runs(texts, lambda text: with_ends(encode(text), prepend=bos_id)).select("run", "run_pos", "n", "ids")
-        next_batch = 0
-        if epoch > 0:
-            before = spark.read.schema(STATE_SCHEMA).parquet(f"{sink}/state/epoch={epoch - 1}")
-            next_batch = before.first()["next_batch"]
-            none = F.lit(0).cast("bigint")
-            carried = before.select((none - 1).alias("run"), none.alias("run_pos"), F.size("ids").cast("bigint").alias("n"), "ids")
-            placed = carried.unionByName(placed)
-        starts = run_starts(placed)
-        rows = cut_runs(placed, batch_rows, seq_len, first_batch=next_batch, starts=starts)
-        rows.write.mode("overwrite").parquet(f"{sink}/rows/epoch={epoch}")
-        done = F.lit(next_batch + full_batches(starts, batch_rows, seq_len)).cast("bigint").alias("next_batch")
-        rest = left_over(placed, starts, batch_rows, seq_len)
-        rest.select(done, "ids").write.mode("overwrite").parquet(f"{sink}/state/epoch={epoch}")
-
+    cut = _cutter(sink, encode, bos_id, batch_rows, seq_len)
     return lane.writeStream.foreachBatch(cut).option("checkpointLocation", f"{sink}/checkpoint").start()
 
 
 def cut_rows(spark: SparkSession, sink: str) -> DataFrame:
     """Training rows written so far."""
-    schema = "batch_id bigint, row_in_batch int, inputs array<int>, targets array<bigint>"
-    return spark.read.schema(schema).parquet(f"{sink}/rows/epoch=*")
+    return rows_of(spark.read.schema(PIECES).parquet(f"{sink}/rows/epoch=*"))
